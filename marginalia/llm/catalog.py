@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, line_dedup, mixing, quality_rules
+from marginalia.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules
 from marginalia.llm.common import table
 
 
@@ -31,12 +31,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"weight": F.round("weight", 9), "p": F.round("p", 9)})
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_quality_rules": op4_quality_rules,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op9_mixing": op9_mixing,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
