@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules
+from marginalia.llm import (
+    decontaminate,
+    jaccard_join,
+    line_dedup,
+    lm_score,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+)
 from marginalia.llm.common import table
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select(
@@ -26,6 +44,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixing(table(spark, sf_dir, "documents"))
     return out.withColumns({"weight": F.round("weight", 9), "p": F.round("p", 9)})
@@ -37,9 +59,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_quality_rules": op4_quality_rules,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_line_dedup": op6_line_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op9_mixing": op9_mixing,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
