@@ -47,6 +47,22 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size_of: Column | None = None, size: int = 64 << 20) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and, by ``size_of``, at most ``size`` bytes."""
+    n, total = df.agg(F.count(F.lit(1)), F.sum(size_of) if size_of is not None else F.lit(0)).first()
+    return n <= rows and (total or 0) <= size
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text) is not listed in ``gone`` (doc_id, text_h).
+
+    Texts stay where they are while ``gone`` is small enough to broadcast.
+    """
+    listed = gone.select(F.col("doc_id").alias("_g_id"), F.col("text_h").alias("_g_h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_g_id")) & (F.xxhash64(text_or_empty()) == F.col("_g_h"))
+    return docs.join(bounded_broadcast(listed), same, "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import ascii_lower, materialize, text_or_empty
+from marginalia.llm.common import ascii_lower, materialize, small_enough, text_or_empty
 
 _ROW = "h1 long, h2 long, doc_id long, text_h long, pos int"
 _COLS = ["h1", "h2", "doc_id", "text_h", "pos"]
@@ -168,6 +168,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_b_id"), F.col("text_h").alias("_b_h"), F.col("n_dropped").alias("_b_n"), "bitmap"
     )
     d = docs.withColumn("_h", F.xxhash64(text_or_empty()))
+    b = materialize(b, "bitmaps")
+    if small_enough(b, size_of=F.octet_length("bitmap") + 32):
+        b = F.broadcast(b)
     joined = d.join(b, (F.col("doc_id") == F.col("_b_id")) & (F.col("_h") == F.col("_b_h")), "left")
     hit = F.col("bitmap").isNotNull()
     text = text_or_empty()

@@ -35,7 +35,7 @@ def base_counts(text: Column) -> list[Column]:
         ),
     ).otherwise(F.array().cast("array<bigint>"))
     return [
-        F.col("doc_id"), F.col("lang"), F.col("source"), n.cast("long").alias("n_words"),
+        F.col("doc_id"), F.col("lang"), F.col("source"), F.xxhash64(text).alias("text_h"), n.cast("long").alias("n_words"),
         F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.char_length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("n_upper"),
@@ -84,7 +84,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
         lambda acc: acc["n"],
     )
     return rows.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols",
+        "doc_id", "lang", "source", "text_h", "n_words", "word_chars", "n_symbols",
         (n_lines - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_upper", n_lines.cast("long").alias("n_text_lines"),
@@ -169,7 +169,8 @@ def group_cuts(sketches: DataFrame, min_docs: int, spread: int) -> DataFrame:
 
 def quality_rules(docs: DataFrame, min_docs: int = 200, spread: int = 4, salts: int = 32) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept and the metrics with their ``cut_`` thresholds.
+    n_repeat_words, base_failed, kept, text_h (xxhash64 of the text) and the metrics with
+    their ``cut_`` thresholds.
 
     Null and empty texts have no words and fail. A null lang or source forms a group
     of its own. Repeated rows are judged alike. Documents above any threshold of
@@ -192,5 +193,5 @@ def quality_rules(docs: DataFrame, min_docs: int = 200, spread: int = 4, salts:
         inside = inside & F.coalesce(F.col(m) <= F.col(f"cut_{m}"), F.lit(True))
     return metrics.join(small, same, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & inside).alias("kept"), *METRICS, *[f"cut_{m}" for m in METRICS],
+        (~F.col("base_failed") & inside).alias("kept"), "text_h", *METRICS, *[f"cut_{m}" for m in METRICS],
     )
