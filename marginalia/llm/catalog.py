@@ -13,6 +13,7 @@ from marginalia.llm import (
     line_dedup,
     lm_score,
     mixing,
+    pii,
     quality_classifier,
     quality_rules,
     substring_dedup,
@@ -48,6 +49,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixing(table(spark, sf_dir, "documents"))
     return out.withColumns({"weight": F.round("weight", 9), "p": F.round("p", 9)})
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_pii": op8_pii,
         "op9_mixing": op9_mixing,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
