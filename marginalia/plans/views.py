@@ -16,7 +16,7 @@ FROM part
 
 #: Rectangles on 200 pages; id is unique within a page.
 RECT = """
-SELECT row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS id,
+SELECT CAST(row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS id,
        l_orderkey % 200 AS page, CAST((l_partkey * 7) % 500 AS DOUBLE) AS x0, CAST((l_suppkey * 13) % 700 AS DOUBLE) AS y0,
        CAST((l_partkey * 7) % 500 AS DOUBLE) + 20 + l_quantity AS x1, CAST((l_suppkey * 13) % 700 AS DOUBLE) + 8 + 2 * l_linenumber AS y1,
        l_linenumber AS kind
@@ -34,7 +34,7 @@ FROM orders
 
 #: Job states: user as job, events in time order as revisions.
 STATE = """
-SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS revision,
+SELECT user_id AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS revision,
        CASE event_type WHEN 'signup' THEN 'initialized' WHEN 'view' THEN 'parsed' WHEN 'click' THEN 'translation_requested'
                        WHEN 'purchase' THEN 'translation_validated' ELSE 'failed' END AS state, event_id
 FROM events
