@@ -254,7 +254,7 @@ def _cells(t):
     return n.select("table_id", "row", cell, "n_nationkey").select("table_id", "row", "ord", "text", F.lit(1).alias("colspan"), F.when((F.col("n_nationkey") % 4 == 1) & (F.col("ord") == 0), 2).otherwise(1).alias("rowspan"))
 
 
-@query("w10_place_cells")
+@query("w10_place_cells", "WITH r AS (SELECT *, (row_number() OVER w - 1)::INTEGER AS row, coalesce(lag(n_nationkey) OVER w % 4 = 1, false) AS pushed FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)) SELECT n_regionkey AS table_id, row, o::INTEGER AS ord, o + pushed::INTEGER AS \"column\", CASE WHEN row = 0 THEN ['POM', 'Description', 'Fabric'][o + 1] ELSE [n_name, 'Notes: ' || n_name, lower(n_name)][o + 1] END AS text FROM r, range(3) t(o)")
 def _w10(t):
     return tables.place_cells(_cells(t)).select("table_id", "row", "ord", "column", "text")
 

@@ -132,7 +132,7 @@ def _f4_lock(t):
     return locked.select("text_id", F.array_join(show, "|").alias("tokens"))
 
 
-@query("f6_validate_tokens")
+@query("f6_validate_tokens", "SELECT p_partkey AS text_id, p_partkey % 2 = 1 AS kept FROM part")
 def _f6(t):
     spec = view(t, SPEC)
     other = F.when(F.col("text_id") % 2 == 0, F.replace(F.col("text"), F.lit("cm"), F.lit("mm"))).otherwise(F.col("text"))
@@ -306,7 +306,7 @@ def _p9(t):
     return t("part").select(F.col("p_partkey").alias("text_id"), tokens.is_pure_dimension(s).alias("pure"))
 
 
-@query("p10_code_only")
+@query("p10_code_only", "SELECT p_partkey AS text_id, p_partkey % 3 <> 0 AS code_only FROM part")
 def _p10(t):
     spec = view(t, SPEC)
     s = F.when(F.col("text_id") % 3 == 0, F.col("text")).when(F.col("text_id") % 3 == 1, F.concat(F.lit("AB-"), "text_id", F.lit("X / 5 cm"))).otherwise(F.lit("IMG_\\front-1.PNG"))
