@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import Box, distance_ratio
 from marginalia.functions.text import normalize_term, similarity
+from marginalia.sources.scratch import staged
 
 MAX_CHAIN = 4
 SIDES = ("x0", "y0", "x1", "y1")
@@ -107,7 +108,8 @@ def match_nodes(nodes: DataFrame, spans: DataFrame, diagonals: DataFrame) -> Dat
     """
     n = with_neighbours(nodes).join(diagonals, "page")
     s = with_neighbours(spans)
-    exact = exact_matches(n, span_chains(s))
+    # Read by the exact result and by the anti join for the rest.
+    exact = staged(exact_matches(n, span_chains(s)), "exact")
     rest = n.join(exact, ["page", "idx"], "left_anti")
     fuzzy = nearest_fuzzy(rest, s).join(s.select("page", F.col("idx").alias("span_idx"), *SIDES), ["page", "span_idx"])
     found = exact.select(

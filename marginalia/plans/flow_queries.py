@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
@@ -11,6 +9,7 @@ from marginalia.operators import exchange, memory, review, state
 from marginalia.plans.registry import Catalog
 from marginalia.plans.views import MEMORY, REVIEW, STATE, view
 from marginalia.sources import files
+from marginalia.sources.scratch import scratch_path
 from marginalia.streaming import jobs
 
 catalog = Catalog()
@@ -18,11 +17,7 @@ query = catalog.query
 
 
 def _scratch(t, name: str) -> str:
-    """A new folder below the session's checkpoint folder, a temporary one where unset."""
-    import uuid
-
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/marginalia-{name}-{uuid.uuid4().hex}"
+    return scratch_path(t.spark, name)
 
 
 def _requested(t):

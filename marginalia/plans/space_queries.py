@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import geometry as geo
 from marginalia.functions.geometry import Box
-from marginalia.operators import layout, matching, spatial, tables
+from marginalia.operators import classify, coverage, exchange, layout, matching, review, selection, spatial, tables
 from marginalia.plans.registry import Catalog
 from marginalia.plans.views import RECT, view
+from marginalia.sources.scratch import staged
 
 catalog = Catalog()
 query = catalog.query
@@ -350,3 +351,59 @@ def _c6(t):
 def _w12(t):
     c = layout.near_first(layout.candidates(_items(t), _pages(t))).withColumn("collisions", F.lit(0).cast("long"))
     return layout.place(c).select("page", "item_id", "candidate", "collisions")
+
+
+@query("k13_sorted_collisions", f"SELECT page, string_agg(item_id || ':' || kind || ':' || object_id, ',' ORDER BY item_id, kind, object_id) AS listed FROM (SELECT DISTINCT page, item_id, kind, object_id FROM ({_COLL})) GROUP BY page")
+def _k13(t):
+    rows = _a16(t).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("item_id", "kind", "object_id"))).alias("a"))
+    return rows.select("page", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["item_id"], x["kind"], x["object_id"])), ",").alias("listed"))
+
+
+@query("v5_coverage_rules", "SELECT c_custkey AS page, CASE WHEN c_custkey % 7 = 0 THEN 'business_area' WHEN c_custkey % 5 = 0 THEN 'protected_items' WHEN c_custkey % 3 = 0 THEN 'groups_uncovered' ELSE 'outside_page' END AS code FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR c_custkey % 3 = 0 OR c_custkey % 2 = 0")
+def _v5(t):
+    k = F.col("c_custkey")
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    none = F.array().cast("array<string>")
+    pages = t("customer").select(
+        k.alias("page"), F.lit("bom").alias("page_type"), F.lit("bulk").alias("stage"), F.when(k % 7 == 0, "supplemental").otherwise("bom_color_groups").alias("business_area"),
+        F.when(k % 5 == 0, words("i1")).otherwise(none).alias("protected"), F.array(F.struct(F.lit("i1").alias("item_id"), F.lit(True).alias("should_translate"))).alias("existing"),
+        words("red", "blue").alias("visible_groups"), F.when(k % 3 == 0, words("red")).otherwise(words("blue", "red")).alias("required_groups"),
+        F.when(k % 3 == 0, words("red")).otherwise(words("red", "blue")).alias("checked_groups"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height"),
+        F.array(Box(F.lit(1.0), F.lit(1.0), F.when(k % 2 == 0, 101.0).otherwise(50.0), F.lit(9.0)).struct()).alias("boxes"),
+    )
+    return coverage.page_errors(pages)
+
+
+@query("c4_supplements", f"WITH {_FEW}, e AS (SELECT page, max(id) AS last FROM r WHERE kind > 2 GROUP BY page), a AS (SELECT page, id FROM r WHERE kind <= 2) SELECT a.page, id, printf('p%03d-i%03d', a.page + 1, coalesce(last, 0) + row_number() OVER (PARTITION BY a.page ORDER BY id)) AS item_id FROM a LEFT JOIN e USING (page)")
+def _c4(t):
+    r = _few(t).withColumn("should_translate", F.lit(True))
+    existing = r.where("kind > 2").withColumns({"text": F.lit("old"), "item_id": F.format_string("p%03d-i%03d", F.col("page") + 1, "id")})
+    added = r.where("kind <= 2").withColumn("text", F.lit("new")).select("page", "id", "text", *SIDES)
+    return coverage.supplements(added, existing).select("page", "id", "item_id")
+
+
+@query("c3_analysis_snapshot")
+def _c3(t):
+    """Matched nodes with their page's class and the selection decision."""
+    matched = staged(matching.match_nodes(_nodes(t), _spans(t), _diagonals(t)), "matched")
+    nodes = _nodes(t).join(matched.select("page", "idx", "confidence"), ["page", "idx"])
+    none = F.array().cast("array<string>")
+    pages = nodes.select("page").distinct().select(
+        "page", F.when(F.col("page") % 2 == 0, "Bill of Materials").otherwise("Cover").alias("title"), none.alias("headers"), none.alias("features"),
+        F.lit(None).cast("struct<page_type:string,confidence:double,evidence:array<string>>").alias("agent"),
+    )
+    classed = classify.classify_pages(pages).select("page", "page_type", F.col("confidence").alias("sure"))
+    rows = nodes.join(classed, "page").select(
+        F.col("page").alias("page_id"), F.col("idx").alias("pos"), "page_type", F.col("sure").alias("confidence"), F.lit("body").alias("role"), "text", F.col("confidence").alias("coordinate_confidence")
+    )
+    terms = t.spark.createDataFrame([("gizmo", "", "gizmo", 0, True)], "source_term string, target_term string, norm string, priority int, do_not_translate boolean")
+    return selection.select_candidates(rows, terms).select("item_id", "page_type", "reason", "should_translate", "auto_approvable", "coordinate_confidence")
+
+
+@query("c5_trusted_output")
+def _c5(t):
+    """Selected candidates with translation, warnings and risk after placement."""
+    chosen = staged(_c3(t), "analysis").where("should_translate").withColumn("text", F.col("item_id"))
+    pairs = exchange.trusted_items(chosen, chosen.select("item_id", F.lower("item_id").alias("translated_text")))
+    warned = pairs.withColumn("w", review.warnings(F.lit(False), F.col("coordinate_confidence"), F.lit("m"), F.lit(True)))
+    return warned.select("item_id", "translated_text", F.array_join("w", ",").alias("warnings"), review.risk_level(F.col("w"), F.col("auto_approvable")).alias("risk"))

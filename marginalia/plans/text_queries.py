@@ -405,3 +405,45 @@ def _c2(t):
 @query("p19_auto_approvable", _DECIDE_SQL + "SELECT page_id, pos, k = 'up' AND pos % 2 = 0 AS auto FROM g")
 def _p19(t):
     return _decided(t).select("page_id", "pos", (F.col("should_translate") & (F.col("pos") % 2 == 0) & (F.col("confidence") >= 0.8) & (F.col("page_type") != "unknown")).alias("auto"))
+
+
+_PREFIXED = "SELECT p_partkey AS text_id, '  Hot — ' || upper(p_name) AS text, length(p_name) AS n FROM part"
+
+
+@query("f7_project_span", "SELECT p_partkey AS text_id, 8 AS start, (8 + length(p_name))::INTEGER AS \"end\" FROM part")
+def _f7(t):
+    rows = view(t, _PREFIXED.replace("FROM part", "FROM part "))
+    span = tokens.project_span(F.col("text"), F.lit(6), (F.col("n") + 6).cast("int"))
+    return rows.select("text_id", span.alias("s")).select("text_id", "s.start", "s.end")
+
+
+def _flagged_hits(t):
+    found = _f3(t).groupBy("text_id").agg(F.collect_list(F.struct("start", "end", "matched_text", "do_not_translate")).alias("hits"))
+    return found.join(t("part").select(F.col("p_partkey").alias("text_id"), F.upper("p_name").alias("text")), "text_id")
+
+
+@query("f8_glossary_locks", "SELECT p_partkey AS text_id, CASE WHEN contains(p_name, 'gizmo') THEN 'glossary:' || (instr(p_name, 'gizmo') - 1) || '|number:90' ELSE 'glossary:' || (instr(p_name, 'gear') - 1) || '|number:90' END AS locks FROM part WHERE (contains(p_name, 'gizmo') OR (contains(p_name, 'gear') AND NOT contains(p_name, 'large gear')))")
+def _f8(t):
+    token = lambda v, a, b: F.struct(F.lit(v).alias("value"), F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit("number").alias("kind"))
+    spread = F.array(token("x", 0, 80), token("y", 90, 91))
+    locked = _flagged_hits(t).where(F.exists("hits", lambda h: h["do_not_translate"])).withColumn("l", tokens.lock_glossary(spread, F.col("hits")))
+    return locked.select("text_id", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["kind"], x["start"])), "|").alias("locks"))
+
+
+@query("f9_restored_spelling", _HITS_SQL + """,
+free AS (SELECT * FROM ranked a WHERE NOT EXISTS (SELECT 1 FROM ranked b WHERE b.text_id = a.text_id AND b.r < a.r AND b.en > a.st))
+SELECT text_id, string_agg(upper(w), ',' ORDER BY st) AS spelling FROM free GROUP BY text_id""")
+def _f9(t):
+    order = F.array_sort("hits")
+    return _flagged_hits(t).select("text_id", F.array_join(F.transform(order, lambda h: F.substring(F.col("text"), h["start"] + 1, h["end"] - h["start"])), ",").alias("spelling"))
+
+
+@query("k1_hit_order", _HITS_SQL + " SELECT text_id, string_agg(w, ',' ORDER BY r) AS ranked FROM ranked GROUP BY text_id")
+def _k1(t):
+    """All hits by start, length, flag, priority, term and target, before overlaps go."""
+    unit = _compiled(t)
+    rows = t("part").select(F.col("p_partkey").alias("text_id"), text.normalize_term(F.col("p_name")).alias("s"))
+    pairs = rows.join(F.broadcast(unit.withColumn("regex", glossary.pattern(F.col("norm")))), F.regexp_like("s", F.col("regex")))
+    placed = pairs.select("text_id", F.explode(glossary._placed(F.col("s"), F.col("regex"))).alias("m"), "source_term", "target_term", "priority", "do_not_translate")
+    order = F.struct(F.col("m.start"), F.col("m.start") - F.col("m.end"), ~F.col("do_not_translate"), -F.col("priority"), F.lower("source_term"), F.col("target_term"), F.col("m.found").alias("w"))
+    return placed.groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["w"]), ",").alias("ranked"))
