@@ -274,7 +274,7 @@ def _p4(t):
     return t("pages").select("page_id", F.array_join(classify.visual_types(f), ",").alias("types"))
 
 
-@query("p16_techpack_gate", "SELECT o_custkey AS job_id, bool_or(o_orderstatus <> 'P' AND o_orderpriority LIKE '1%') AS accepted FROM orders GROUP BY o_custkey")
+@query("p16_known_jobs", "SELECT o_custkey AS job_id, bool_or(o_orderstatus <> 'P' AND o_orderpriority LIKE '1%') AS accepted FROM orders GROUP BY o_custkey")
 def _p16(t):
     pages = t("orders").select(
         F.col("o_custkey").alias("job_id"), F.when(F.col("o_orderstatus") == "P", "unknown").otherwise("bom").alias("page_type"),
