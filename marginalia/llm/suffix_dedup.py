@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,10 +69,16 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(document, first start, span, anchor hash, c1, c2): runs of starts that share an
-    anchor. c1 and c2 digest the bytes from the first start to the end of the last string,
-    and where the anchor lies."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U, _U))
+    """(document, first start, span, anchor hash, c1, c2, left, right): runs of starts that
+    share an anchor. c1 and c2 digest the bytes from the first start to the end of the last
+    string, and where the anchor lies.
+
+    A string reaches at least half of what it has besides its anchor to the left or to the
+    right of it; left and right digest the anchor with that much on one side. Contexts
+    that agree in neither hold no equal strings. A side that no string of the context
+    reaches has the context's own digest.
+    """
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U, _U, _U, _U))
     n = len(data)
     if n < length:
         return none
@@ -93,14 +99,18 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tupl
     end = e + length
     c1 = mix(ranges.of(s, end) + (a - s).astype(_U) * _U(3))
     c2 = mix(Ranges(data, _BASES[1]).of(s, end) ^ mix((end - s).astype(_U)))
-    return d, s - offsets[d], e - s, gram[a], c1, c2
+    half = (length - k) // 2
+    west, east = a - half >= s, a + k + half <= end
+    left = np.where(west, ranges.of(np.maximum(a - half, 0), a + k), c1)
+    right = np.where(east, ranges.of(a, np.minimum(a + k + half, n)) ^ _U(1), c2)
+    return d, s - offsets[d], e - s, gram[a], c1, c2, left, right
 
 
 def _find(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch, "text"):
-                d, s, span, key, c1, c2 = contexts(data, offsets, length, k)
+                d, s, span, key, c1, c2, left, right = contexts(data, offsets, length, k)
                 if not len(d):
                     continue
                 rows = pa.array(d)
@@ -109,8 +119,9 @@ def _find(length: int, k: int):
                         pa.array(key.astype(np.int64)), pa.array(c1.astype(np.int64)), pa.array(c2.astype(np.int64)),
                         batch.column("doc_id").slice(lo, hi - lo).take(rows), batch.column("text_h").slice(lo, hi - lo).take(rows),
                         pa.array(s.astype(np.int32)), pa.array(span.astype(np.int32)),
+                        pa.array(left.astype(np.int64)), pa.array(right.astype(np.int64)),
                     ],
-                    names=["key", "c1", "c2", "doc_id", "text_h", "at", "span"],
+                    names=["key", "c1", "c2", "doc_id", "text_h", "at", "span", "left", "right"],
                 )
 
     return run
@@ -218,19 +229,21 @@ def repeated_intervals(docs: DataFrame, length: int = 400, k: int = 100, hot: in
     texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_h"), text_or_empty().cast("binary").alias("text"))
     long = texts.where(F.octet_length("text") >= length)
     found = materialize(
-        long.mapInArrow(_find(length, k), "key long, c1 long, c2 long, doc_id long, text_h long, at int, span int"), "contexts"
+        long.mapInArrow(_find(length, k), "key long, c1 long, c2 long, doc_id long, text_h long, at int, span int, left long, right long"), "contexts"
     )
     same = ["key", "c1", "c2"]
     distinct = materialize(
         found.groupBy(*same).agg(
-            F.count(F.lit(1)).alias("n"), F.min("span").alias("span"), F.min(F.struct("text_h", "at", "doc_id")).alias("of")
+            F.count(F.lit(1)).alias("n"), F.min("span").alias("span"), F.min(F.struct("text_h", "at", "doc_id")).alias("of"),
+            F.min("left").alias("left"), F.min("right").alias("right"),
         ),
         "distinct-contexts",
     )
     keys = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
     # Nothing is left to decide where all contexts are counted twice.
     open_keys = keys.where("kinds > 1 AND least = 1").select("key", (F.col("kinds") > hot).alias("hot"))
-    todo = distinct.join(open_keys, "key")
+    beside = lambda side: F.count(F.lit(1)).over(Window.partitionBy("key", side)) > 1
+    todo = distinct.join(open_keys, "key").withColumn("met", beside("left") | beside("right")).where("met")
     wanted = todo.groupBy(F.col("of.doc_id").alias("_d"), F.col("of.text_h").alias("_h")).agg(
         F.collect_list(F.struct("key", "c1", "c2", "n", "span", F.col("of.at").alias("at"))).alias("wanted")
     )
