@@ -1,9 +1,9 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication by content-defined cuts.
 
-A gear rolling hash over the last 32 bytes cuts each text where its low bits vanish,
-so cuts depend on nearby bytes only and come back after an insertion. Chunks are
-deduplicated by digest: minima and counts are pre-aggregated per digest before the
-shuffle, then chunks look up whether an earlier place holds the same bytes.
+A gear rolling hash over the last 32 bytes cuts each text at the least value of every
+97 positions, so cuts depend on nearby bytes only and any 128 bytes that two places
+share hold a common cut. The 32 bytes before a cut are only a seed: places with equal
+seeds compare the bytes around it and every match is extended byte by byte.
 """
 
 from __future__ import annotations
@@ -59,82 +59,197 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray, gear: np.ndarray, bits: in
     return ends, docs
 
 
-def _chunks(bits: int, longest: int):
+def anchors(data: np.ndarray, offsets: np.ndarray, gear: np.ndarray, span: int) -> np.ndarray:
+    """Ends of the seeds: the last least hash of every ``span`` bytes inside one text."""
+    if len(data) < span:
+        return np.zeros(0, np.int64)
+    width, full = span - REACH + 1, (1 << 32) - 1
+    low = (gear_hash(data, gear).astype(np.int64) << 31) | (full >> 1) - np.arange(len(data))
+    wide = 1
+    while wide < width:
+        step = min(wide, width - wide)
+        low[step:] = np.minimum(low[step:], low[:-step])
+        wide += step
+    at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    return np.unique((full >> 1) - (low[at >= span - 1] & (full >> 1))) + 1
+
+
+def _digests(pieces) -> np.ndarray:
+    raw = b"".join(hashlib.blake2b(x, digest_size=12).digest() for x in pieces)
+    return np.frombuffer(raw, np.dtype([("a", "<i8"), ("b", "<i4")]))
+
+
+def _seeds(span: int):
     gear = gear_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in slices(batch, "text"):
-                ends, docs = chunk_ends(data, offsets, gear, bits, longest)
-                if not ends:
+                end = anchors(data, offsets, gear, span)
+                if not len(end):
                     continue
-                raw, end, doc = data.tobytes(), np.array(ends), np.array(docs)
-                start = np.concatenate(([0], end[:-1]))
-                first = np.concatenate(([True], doc[1:] != doc[:-1]))
-                start[first] = offsets[doc[first]]
-                digest = b"".join(
-                    hashlib.blake2b(raw[a:b], digest_size=12).digest() for a, b in zip(start.tolist(), ends, strict=True)
-                )
-                parts = np.frombuffer(digest, np.dtype([("a", "<i8"), ("b", "<i4")]))
+                raw, doc = data.tobytes(), np.searchsorted(offsets, end, "left") - 1
+                digest = b"".join(hashlib.blake2b(raw[e - REACH : e], digest_size=8).digest() for e in end.tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(parts["a"]), pa.array(parts["b"]), pa.array(ids[lo:hi][doc].astype(np.int64)),
-                        pa.array((start - offsets[doc]).astype(np.int32)), pa.array((end - start).astype(np.int32)),
+                        pa.array(np.frombuffer(digest, "<i8")), pa.array(ids[lo:hi][doc].astype(np.int64)),
+                        pa.array((end - offsets[doc]).astype(np.int32)),
                     ],
-                    names=["d1", "d2", "doc_id", "at", "size"],
+                    names=["d", "doc_id", "at"],
                 )
 
     return run
 
 
-def chunks(docs: DataFrame, bits: int = 5, longest: int = 256) -> DataFrame:
-    """(d1, d2, doc_id, at, size): the chunks of every text as UTF-8 bytes, with a 96-bit digest."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select(
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")
     )
-    return rows.mapInArrow(_chunks(bits, longest), "d1 long, d2 int, doc_id long, at int, size int")
 
 
-def repeated_spans(docs: DataFrame, bits: int = 5, longest: int = 256, min_span: int = 128) -> DataFrame:
-    """(doc_id, start, end, n_removed, first_docs): maximal runs of repeated chunks.
+def seeds(docs: DataFrame, span: int) -> DataFrame:
+    """(d, doc_id, at): a 64-bit digest of the 32 bytes before every cut, and the cut."""
+    return _texts(docs).mapInArrow(_seeds(span), "d long, doc_id long, at int")
 
-    A chunk is repeated when its digest occurs at another place; all but the place
-    with the least (doc_id, offset) are removed: ``n_removed`` bytes of the run.
-    ``first_docs`` lists the documents that keep them. Runs under ``min_span`` bytes
-    stay as they are.
+
+def _windows(span: int):
+    """Two places that share ``span`` bytes around a seed share half of the rest of them
+    on its left or on its right: those windows are compared, with as much on either side,
+    which reaches the next cut or the end of what is shared."""
+    rest = span - REACH
+    half = rest // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc, text, cuts = batch["doc_id"][row].as_py(), batch["text"][row].as_py(), batch["cuts"][row].as_py()
+                for lo in range(0, len(cuts), 4096):
+                    found = []
+                    for e in cuts[lo : lo + 4096]:
+                        for side, s, t in ((0, e - REACH - half, e), (1, e - REACH, e + half)):
+                            if s >= 0 and t <= len(text):
+                                pre = text[max(0, s - half) : s][::-1]
+                                found.append((side, s, text[s:t], pre, text[t : t + half]))
+                    if not found:
+                        continue
+                    side, start, inner, pre, post = zip(*found, strict=True)
+                    parts = _digests(inner)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(parts["a"]), pa.array(parts["b"]), pa.array(side, pa.int32()),
+                            pa.array(np.full(len(found), doc, np.int64)), pa.array(start, pa.int32()),
+                            pa.array(pre, pa.binary()), pa.array(post, pa.binary()),
+                        ],
+                        names=["k1", "k2", "side", "doc_id", "s", "pre", "post"],
+                    )
+
+    return run
+
+
+def _alike(a: bytes, b: bytes | None) -> int:
+    """Length of the common prefix."""
+    if b is None:
+        return 0
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+    return low
+
+
+def _extended(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {n: batch.column(n).to_pylist() for n in ("pre", "pre_1", "pre_2", "post", "post_1", "post_2")}
+            left = [max(_alike(a, x), _alike(a, y)) for a, x, y in zip(c["pre"], c["pre_1"], c["pre_2"], strict=True)]
+            right = [max(_alike(a, x), _alike(a, y)) for a, x, y in zip(c["post"], c["post_1"], c["post_2"], strict=True)]
+            s = batch.column("s").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array(s - np.array(left, np.int32)),
+                    pa.array(s + np.array(right, np.int32) + np.int32(width)), batch.column("f_doc"), batch.column("moved"),
+                ],
+                names=["doc_id", "lo", "hi", "f_doc", "moved"],
+            )
+
+    return run
+
+
+def equal_pieces(docs: DataFrame, span: int) -> DataFrame:
+    """(doc_id, lo, hi, f_doc, moved): pieces of texts that occur at another place too.
+
+    Their union holds every span of at least ``span`` bytes that occurs twice. In sorted
+    order the neighbours of a place share the longest bytes with it. ``f_doc`` is the
+    document of the least (doc_id, offset) of the piece, ``moved`` false for that place.
+    """
+    # Equal digests only propose: windows are compared by 96 bits. Read once, so not written.
+    again = F.count(F.lit(1)).over(Window.partitionBy("d"))
+    cuts = seeds(docs, span).withColumn("n", again).where("n > 1").groupBy("doc_id").agg(F.collect_set("at").alias("cuts"))
+    windows = _texts(docs).join(cuts, "doc_id").select("doc_id", "text", "cuts").mapInArrow(
+        _windows(span), "k1 long, k2 int, side int, doc_id long, s int, pre binary, post binary"
+    )
+    key = ["k1", "k2", "side"]
+    once = windows.repartition(*key).dropDuplicates([*key, "doc_id", "s"])
+    whole = Window.partitionBy(*key)
+    near = {"pre": whole.orderBy("pre"), "post": whole.orderBy("post")}
+    met = once.withColumn("first", F.min(F.struct("doc_id", "s")).over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
+    met = met.where("n > 1").select(
+        "doc_id", "s", "pre", "post", F.col("first.doc_id").alias("f_doc"),
+        ((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.s") != F.col("s"))).alias("moved"),
+        *[f(c).over(w).alias(f"{c}_{i}") for c, w in near.items() for i, f in ((1, F.lag), (2, F.lead))],
+    )
+    width = REACH + (span - REACH) // 2
+    return met.mapInArrow(_extended(width), "doc_id long, lo int, hi int, f_doc long, moved boolean")
+
+
+def short_copies(docs: DataFrame, span: int) -> DataFrame:
+    """Rows as of ``equal_pieces``: whole texts under ``span`` bytes that another document equals."""
+    short = _texts(docs).where(F.octet_length("text").between(1, span - 1)).distinct()
+    first = short.groupBy("text").agg(F.min("doc_id").alias("f_doc"), F.max("doc_id").alias("l_doc")).where("f_doc <> l_doc")
+    return short.join(first, "text").select(
+        "doc_id", F.lit(0).alias("lo"), F.octet_length("text").alias("hi"), "f_doc", (F.col("f_doc") != F.col("doc_id")).alias("moved")
+    )
+
+
+def repeated_spans(docs: DataFrame, min_span: int = 128) -> DataFrame:
+    """(doc_id, start, end, n_removed, first_docs): maximal repeated spans, in bytes.
+
+    Pieces that occur at another place are joined where they meet; all but the place
+    with the least (doc_id, offset) are removed: ``n_removed`` bytes of the span.
+    ``first_docs`` lists the documents that keep them. Spans under ``min_span`` bytes
+    stay as they are, but for whole texts that another document equals.
     """
-    parts = materialize(chunks(docs, bits, longest), "chunks")
-    places = F.struct("doc_id", "at")
-    seen = parts.groupBy("d1", "d2").agg(F.min(places).alias("first"), F.max(places).alias("last"))
-    twice = seen.where("first <> last").select("d1", "d2", F.col("first.doc_id").alias("f_doc"), F.col("first.at").alias("f_at"))
-    hits = materialize(parts.join(twice, ["d1", "d2"]).select("doc_id", "at", "size", "f_doc", "f_at").distinct(), "repeats")
-    ordered = Window.partitionBy("doc_id").orderBy("at")
-    fresh = F.coalesce(F.lag(F.col("at") + F.col("size")).over(ordered) != F.col("at"), F.lit(True)).cast("int")
-    numbered = hits.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(ordered))
-    moved = (F.col("f_doc") != F.col("doc_id")) | (F.col("f_at") != F.col("at"))
+    found = equal_pieces(docs, min_span).withColumn("least", F.lit(min_span))
+    pieces = materialize(found.unionByName(short_copies(docs, min_span).withColumn("least", F.lit(1))), "pieces")
+    ordered = Window.partitionBy("doc_id").orderBy("lo", "hi", "f_doc", "moved")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    past, gone = F.max("hi").over(before), F.max(F.when(F.col("moved"), F.col("hi"))).over(before)
+    fresh = F.coalesce(past < F.col("lo"), F.lit(True)).cast("int")
+    more = F.greatest(F.col("hi") - F.greatest("lo", F.coalesce(gone, F.col("lo"))), F.lit(0))
+    numbered = pieces.withColumns({"fresh": fresh, "more": F.when(F.col("moved"), more).otherwise(0)})
     return (
-        numbered.groupBy("doc_id", "span")
+        numbered.withColumn("span", F.sum("fresh").over(ordered)).groupBy("doc_id", "span")
         .agg(
-            F.min("at").alias("start"),
-            F.max(F.col("at") + F.col("size")).alias("end"),
-            F.sum(F.when(moved, F.col("size")).otherwise(0)).alias("n_removed"),
-            F.sort_array(F.collect_set("f_doc")).alias("first_docs"),
+            F.min("lo").alias("start"), F.max("hi").alias("end"), F.sum("more").alias("n_removed"),
+            F.sort_array(F.collect_set("f_doc")).alias("first_docs"), F.min("least").alias("least"),
         )
-        .where(F.col("end") - F.col("start") >= min_span)
-        .drop("span")
-    )
+        .where(F.col("end") - F.col("start") >= F.col("least"))
+        .drop("span", "least")
+    )
 
 
-def dedup_substrings(docs: DataFrame, bits: int = 5, longest: int = 256, min_span: int = 128) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_span: int = 128) -> DataFrame:
     """One row per document with a repeated span: doc_id, n_spans, n_repeat_bytes,
     n_removed_bytes, first_docs.
 
-    Documents without one are not listed, nor are null, empty and very short texts.
+    Documents without one are not listed, nor are null and empty texts.
     Repeated rows of a doc_id are one document: they do not repeat each other. Rows with a
     null doc_id take no part.
     """
-    spans = repeated_spans(docs, bits, longest, min_span)
+    spans = repeated_spans(docs, min_span)
     return spans.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_spans"),
         F.sum(F.col("end") - F.col("start")).cast("long").alias("n_repeat_bytes"),
