@@ -4,8 +4,9 @@ Native only. Generators are regular expressions: four base kinds that a validato
 confirms, and wide nets for keys, local phone numbers, account numbers and long digit
 groups. A split by the same expression gives the gaps between matches, so positions
 are running sums. Every candidate gets format and context features; trees boosted on a
-bounded sample of candidates become one CASE expression. A kind's threshold is the
-least that reaches the wanted precision on the part of the sample kept for calibration.
+bounded sample of candidates, shared out among the kinds, become one CASE expression. A
+kind's threshold is the least that reaches the wanted precision on all its candidates
+outside that sample, counted by score.
 """
 
 from __future__ import annotations
@@ -174,16 +175,28 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 2, rate:
     return trees
 
 
-def calibrated(score: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float) -> dict[str, float]:
-    """The least score per kind from which the precision is reached; none: infinity."""
+def calibrated(counts: list, precision: float) -> dict[str, float]:
+    """The least score per kind from which the precision is reached; none: infinity.
+    ``counts`` has (kind, score, n, positives) of every kind and score."""
     out = {}
     for kind in NETS:
-        mine = kinds == ORDER.index(kind) + 1
-        order = np.argsort(-score[mine], kind="stable")
-        s, good = score[mine][order], np.cumsum(y[mine][order])
-        last = np.concatenate((s[1:] != s[:-1], [True])) if len(s) else np.zeros(0, bool)
-        fine = np.flatnonzero((good >= precision * np.arange(1, len(s) + 1)) & last)
-        out[kind] = float(s[fine[-1]]) if len(fine) else float("inf")
+        n = good = 0
+        out[kind] = float("inf")
+        for _, score, more, positives in sorted((r for r in counts if r[0] == kind), key=lambda r: -r[1]):
+            n, good = n + more, good + positives
+            if good >= precision * n:
+                out[kind] = score
+    return out
+
+
+def shares(counts: dict[str, int], rows: int) -> dict[str, float]:
+    """The share of each kind's candidates to learn from: at most half, ``rows`` in all,
+    dealt evenly among the kinds; what a rare kind leaves goes to the others."""
+    out, left = {}, rows
+    for i, (kind, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
+        mine = min(n / 2, left / (len(counts) - i))
+        out[kind] = mine / n
+        left -= mine
     return out
 
 
@@ -197,26 +210,32 @@ def weak_label(spans: DataFrame) -> DataFrame:
 
 
 def scored(spans: DataFrame, max_rows: int, precision: float) -> DataFrame:
-    """``spans`` plus (score, picked). Trees learn from half of at most ``max_rows``
-    candidates of least hash, thresholds are calibrated on the other half."""
-    order = F.xxhash64("doc_id", "text_h", "kind", "start")
-    sample = weak_label(spans).orderBy(order, "doc_id", "kind", "start").limit(max_rows)
-    rows = sample.select("y", F.pmod(order, F.lit(2)).alias("part"), *FEATURES).collect()
-    data = np.array([list(r) for r in rows], float).reshape(-1, 2 + len(FEATURES))
-    learn, check = data[data[:, 1] == 0], data[data[:, 1] == 1]
+    """``spans`` plus (score, picked). Trees learn from about half of ``max_rows``
+    candidates, taken by hash, thresholds are calibrated on all others."""
+    kinds = dict(spans.groupBy("kind").count().collect())
+    part = F.pmod(F.xxhash64("doc_id", "text_h", "kind", "start"), F.lit(1 << 40)) / float(1 << 40)
+    share = F.lit(0.0)
+    for kind, s in shares(kinds, max_rows // 2).items():
+        share = F.when(F.col("kind") == kind, s).otherwise(share)
+    labelled = weak_label(spans)
+    rows = labelled.where(part < share).select("y", *FEATURES).collect()
+    learn = np.array([list(r) for r in rows], float).reshape(-1, 1 + len(FEATURES))
     if len(learn) == 0:
         return spans.withColumns({"score": F.lit(0.0), "picked": F.lit(False)})
-    trees = boost(learn[:, 2:], learn[:, 0])
-    z = sum(_value(t, check[:, 2:]) for t in trees)
-    cuts = calibrated(1 / (1 + np.exp(-z)), check[:, 0], check[:, 2], precision)
+    # Summed in one order, whatever order the rows came in.
+    learn = learn[np.lexsort(learn.T)]
     total = F.lit(0.0)
-    for t in trees:
+    for t in boost(learn[:, 1:], learn[:, 0]):
         total = total + _case(t)
     score = 1.0 / (1.0 + F.exp(-total))
+    # A score counts by its first four digits, so that at most 10 001 a kind are told apart.
+    step = F.floor(score * 10_000).cast("int")
+    held = labelled.where((part >= share) & F.col("kind").isin(*NETS)).groupBy("kind", step.alias("step"))
+    cuts = calibrated(held.agg(F.count(F.lit(1)), F.sum("y")).collect(), precision)
     picked = F.lit(False)
     for kind, cut in cuts.items():
         if cut != float("inf"):
-            picked = picked | ((F.col("kind") == kind) & (F.col("score") >= cut - 1e-9))
+            picked = picked | ((F.col("kind") == kind) & (step >= cut))
     return spans.withColumn("score", score).withColumn("picked", picked)
 
 
