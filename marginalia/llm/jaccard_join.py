@@ -28,19 +28,29 @@ from marginalia.llm.vectors import mix, runs, shingle_sets, slices
 COORDINATES = 64
 #: Nodes of at most so many sets are compared by brute force.
 LEAF = 100
+#: Levels of a walk; nodes that are still large there are candidates as a whole.
+DEPTH = 3
 #: Sets in a block of the exact comparison.
 BLOCK = 256
 
 
-def runs_for(recall: float, similarity: float, depth: int = 3) -> int:
+def runs_for(recall: float, similarity: float, depth: int = DEPTH) -> int:
     """Runs after which a pair of this similarity has met in a node of ``depth`` with
-    probability ``recall``: the extinction of a branching walk with 1 or 2 children."""
+    probability ``recall``: the extinction of a branching walk with 1 or 2 children.
+
+    All runs share the coordinates, so it is averaged over the number in which a pair agrees.
+    """
     second = 1 / similarity - 1
-    lost = 0.0
+    share = np.arange(COORDINATES + 1) / COORDINATES
+    chance = np.array([math.comb(COORDINATES, i) * similarity**i * (1 - similarity) ** (COORDINATES - i) for i in range(COORDINATES + 1)])
+    lost = np.zeros(COORDINATES + 1)
     for _ in range(depth):
-        one = 1 - similarity + similarity * lost
+        one = 1 - share + share * lost
         lost = (1 - second) * one + second * one * one
-    return math.ceil(math.log(1 - recall) / math.log(lost))
+    n = 1
+    while (chance * lost**n).sum() > 1 - recall:
+        n += 1
+    return n
 
 
 def _signatures(k: int):
@@ -143,13 +153,13 @@ def _leaf_edges(least: float):
     return run
 
 
-def candidate_edges(sets: DataFrame, similarity: float, recall: float, max_depth: int = 8) -> DataFrame:
+def candidate_edges(sets: DataFrame, similarity: float, recall: float, max_depth: int = DEPTH) -> DataFrame:
     """(a, b): forest edges over the candidate groups of ``sets`` (rep, signature).
 
     Nodes that are still large at ``max_depth`` share that many chosen values; they are
     taken whole as candidates by a star, which the exact comparison then decides.
     """
-    n_runs = runs_for(recall, similarity)
+    n_runs = runs_for(recall, similarity, max_depth)
     # Five standard deviations of an estimate at the threshold.
     least = similarity - 5 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
     rows = sets.select("rep", "signature", F.explode(F.array(*[F.lit(r).cast("long") for r in range(n_runs)])).alias("path"))
