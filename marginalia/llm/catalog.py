@@ -59,7 +59,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixing(table(spark, sf_dir, "documents"))
+    out = mixing.mixing(table(spark, sf_dir, "documents")).drop("margin_error")
     return out.withColumns({"weight": F.round("weight", 9), "p": F.round("p", 9)})
 
 

@@ -39,7 +39,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/marginalia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` once whatever reads them has been written."""
+    for df in tables:
+        path = df.__dict__.pop("scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -54,7 +66,8 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size_of: Column | No
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text) is not listed in ``gone`` (doc_id, text_h).
+    """Rows of ``docs`` whose (doc_id, text) is not listed in ``gone`` (doc_id, text_h); a
+    null doc_id equals a null doc_id.
 
     Texts stay where they are while ``gone`` is small enough to broadcast.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize
+from marginalia.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -20,18 +20,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the component's least node.
 
     Each round writes its edges, pre-aggregates minima before shuffling, and compares
-    two sums to see whether anything moved. Self-loops and repeated edges do no harm.
+    two sums to see whether anything moved. It ends at the fixed point, in rounds of the
+    order of the square of the logarithm of the nodes. Self-loops and repeated edges do no harm.
     """
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     mark = None
-    for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+    while True:
+        before = now
+        now = materialize(_small_star(_large_star(before)), "edges")
+        discard(before)
         seen = tuple(
             now.agg(
                 F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))
@@ -40,7 +43,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -26,6 +26,11 @@ _ROW = "h1 long, h2 long, doc_id long, text_h long, pos int"
 _COLS = ["h1", "h2", "doc_id", "text_h", "pos"]
 
 
+def _id(doc_id: Column) -> Column:
+    """A null doc_id is one document, less than all others."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
 def line_key(line: Column) -> Column:
     """Whitespace U+0009..U+000D and U+0020 stripped at both ends, A-Z lowered."""
     return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
@@ -35,10 +40,9 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2, doc_id, text_h, pos) of every line whose key has ``min_chars`` code points.
 
     The two 64-bit hashes use different seeds, so equal pairs mean equal keys.
-    Rows with a null doc_id take no part.
     """
-    lines = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    lines = docs.select(
+        _id(F.col("doc_id")).alias("doc_id"),
         F.xxhash64(text_or_empty()).alias("text_h"),
         F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"),
     )
@@ -140,7 +144,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
     Returns (doc_id long, text_h long, n_dropped long, bitmap binary); bit i of the
     zlib-packed bitmap says whether line i stays, lines past its end stay.
     Repeated rows of one doc_id count as one document; ``text_h`` tells apart
-    rows that share a doc_id but not a text. Empty input gives no rows.
+    rows that share a doc_id but not a text. Rows with a null doc_id are one document
+    that is less than all others, listed under the least long. Empty input gives no rows.
     """
     rows = materialize(line_rows(docs, min_chars), "lines")
     ranged = rows.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions(
@@ -165,27 +170,28 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` plus (line_n, line_dropped, line_kept): counts and the remaining text."""
     b = bitmaps.select(
-        F.col("doc_id").alias("_b_id"), F.col("text_h").alias("_b_h"), F.col("n_dropped").alias("_b_n"), "bitmap"
+        F.col("doc_id").alias("_b_id"), F.col("text_h").alias("_b_h"), F.col("n_dropped").alias("_b_n"), F.col("bitmap").alias("_b_bits")
     )
     d = docs.withColumn("_h", F.xxhash64(text_or_empty()))
     b = materialize(b, "bitmaps")
-    if small_enough(b, size_of=F.octet_length("bitmap") + 32):
+    if small_enough(b, size_of=F.octet_length("_b_bits") + 32):
         b = F.broadcast(b)
-    joined = d.join(b, (F.col("doc_id") == F.col("_b_id")) & (F.col("_h") == F.col("_b_h")), "left")
-    hit = F.col("bitmap").isNotNull()
+    joined = d.join(b, (_id(F.col("doc_id")) == F.col("_b_id")) & (F.col("_h") == F.col("_b_h")), "left")
+    hit = F.col("_b_bits").isNotNull()
     text = text_or_empty()
     return joined.select(
         *[d[c] for c in docs.columns],
         (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line_n"),
         F.coalesce("_b_n", F.lit(0)).cast("long").alias("line_dropped"),
-        F.when(hit, _apply(F.when(hit, text), F.col("bitmap"))).otherwise(text).alias("line_kept"),
+        F.when(hit, _apply(F.when(hit, text), F.col("_b_bits"))).otherwise(text).alias("line_kept"),
     )
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept_sha256, kept_text.
 
-    Null and empty texts are one empty line. Rows with a null doc_id lose nothing.
+    Null and empty texts are one empty line. Rows with a null doc_id are one document
+    that is less than all others.
     """
     base = docs.select("doc_id", "text")
     out = apply_bitmaps(base, line_bitmaps(base, min_docs, min_chars))

@@ -124,19 +124,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 50_000) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Learns from at most ``max_rows`` labelled documents outside the held-out fold, those
-    of least xxhash64(doc_id); statistics and scores cover every whole text. Without two
+    Learns from about ``max_rows`` labelled documents outside the held-out fold, all of
+    them where there are no more: those whose xxhash64(doc_id) lies under a threshold set
+    by their count. Statistics and scores cover every whole text. Without two
     rows of either class every score is the share of label 1 (0.5 without labels).
-    Null labels are ignored; null and empty texts are scored as texts without words;
-    a null doc_id is not held out.
+    Null labels are ignored; of labels of one doc_id that disagree the least counts.
+    Null and empty texts are scored as texts without words; a null doc_id is not held out.
     """
     stats = materialize(document_statistics(docs, "doc_id"), "statistics")
     marked = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(
         F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")
     )
-    learnable = marked.where(~held_out("_id")).dropDuplicates(["_id"])
-    sample = learnable.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = stats.join(bounded_broadcast(sample), F.col("doc_id") == F.col("_id")).select("quality", *FEATURES).toArrow()
+    learnable = marked.where(~held_out("_id")).groupBy("_id").agg(F.min("quality").alias("quality"))
+    n = learnable.count()
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
+    sample = learnable if n <= max_rows else learnable.where(place < int(max_rows / n * (1 << 40)))
+    rows = stats.join(bounded_broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "quality", *FEATURES).toArrow()
+    rows = rows.sort_by([("_id", "ascending"), ("f_words", "ascending")])
     y = rows["quality"].to_numpy()
     x = np.column_stack([rows[f].to_numpy() for f in FEATURES]) if len(y) else np.zeros((0, len(FEATURES)))
     model = fit(x, y)

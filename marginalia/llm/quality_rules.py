@@ -3,9 +3,11 @@
 Native only. Every document gets integer metrics; each (lang, source) group keeps a
 mergeable quantile sketch per metric: counts of log-linear buckets (values below 64
 exact, above that 32 buckets per power of two, so at most 1/32 relative error).
-Sketches merge by adding counts, which is how small groups fall back to their
-language and then to the whole corpus. Thresholds read from the sketches are joined
-back to the documents' metrics.
+Sketches merge by adding counts. A group's sketch is blended with that of its language,
+and a language's with the corpus's, each weighing as much as ``prior`` documents, so
+a small group leans on its language and a large one stands for itself. Quantiles and
+spread read from the blended sketch give the thresholds, which are joined back to the
+documents' metrics; no metric has a fixed cutoff.
 """
 
 from __future__ import annotations
@@ -15,9 +17,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import bounded_broadcast, materialize, space_words, text_or_empty
 
-#: Metrics and the least width, in their own units, by which a threshold lies
-#: above the median.
-METRICS = {"m_symbols": 60, "m_dup_lines": 250, "m_repeats": 150, "m_upper": 300, "m_word_len": 400}
+METRICS = ("m_symbols", "m_dup_lines", "m_repeats", "m_upper", "m_word_len")
 #: Words of a repeated window.
 GRAM = 5
 
@@ -131,43 +131,44 @@ def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def thresholds(sketches: DataFrame, by: list[str], spread: int) -> DataFrame:
-    """(*by, metric, n_docs, cut): median + max(width, spread * (q90 - median)), from the sketch."""
-    keys = [*by, "metric"]
-    w = Window.partitionBy(*keys)
-    ranked = merged(sketches, by).select(
-        *keys, "bucket", F.sum("n").over(w).alias("n_docs"), F.sum("n").over(w.orderBy("bucket")).alias("upto")
+def blended(sketches: DataFrame, prior: float) -> DataFrame:
+    """(lang, source, metric, bucket, w): each group's counts plus ``prior`` documents
+    spread like its language, whose own sketch has ``prior`` documents spread like the corpus."""
+    corpus = merged(sketches, []).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("metric")))
+    corpus = F.broadcast(corpus.select("metric", "bucket", F.col("share").alias("c_share")))
+    lang = merged(sketches, ["lang"])
+    sizes = lang.groupBy("lang", "metric").agg(F.sum("n").alias("l_docs")).join(corpus, "metric")
+    lang = lang.select(F.col("lang").alias("_lang"), F.col("metric").alias("_m"), F.col("bucket").alias("_b"), F.col("n").alias("l_n"))
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_m")) & (F.col("bucket") == F.col("_b"))
+    like = (F.coalesce("l_n", F.lit(0)) + prior * F.col("c_share")) / (F.col("l_docs") + prior)
+    lang = sizes.join(lang, same, "left").select(
+        F.col("lang").alias("_lang"), F.col("metric").alias("_m"), "bucket", like.alias("like")
     )
-    read = ranked.groupBy(*keys).agg(
-        F.max("n_docs").alias("n_docs"),
-        F.min(F.when(F.col("upto") * 2 >= F.col("n_docs"), F.col("bucket"))).alias("q50"),
-        F.min(F.when(F.col("upto") * 10 >= F.col("n_docs") * 9, F.col("bucket"))).alias("q90"),
+    groups = sketches.select("lang", "source", "metric").distinct()
+    spread = groups.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_m"))).select(
+        "lang", "source", "metric", "bucket", (prior * F.col("like")).alias("w")
     )
-    width = F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])
-    cut = F.col("q50") + F.greatest(width[F.col("metric")], spread * (F.col("q90") - F.col("q50")))
-    return read.select(*keys, "n_docs", cut.cast("long").alias("cut"))
+    own = sketches.select("lang", "source", "metric", "bucket", F.col("n").cast("double").alias("w"))
+    return spread.unionByName(own).groupBy("lang", "source", "metric", "bucket").agg(F.sum("w").alias("w"))
 
 
-def group_cuts(sketches: DataFrame, min_docs: int, spread: int) -> DataFrame:
-    """(lang, source, cuts map): a group of fewer than ``min_docs`` documents takes its
-    language's thresholds, a language of fewer the corpus's."""
-    own = thresholds(sketches, ["lang", "source"], spread)
-    lang = thresholds(sketches, ["lang"], spread).select(
-        F.col("lang").alias("_lang"), "metric", F.col("n_docs").alias("lang_docs"), F.col("cut").alias("lang_cut")
-    )
-    corpus = thresholds(sketches, [], spread).select("metric", F.col("cut").alias("corpus_cut"))
-    joined = own.join(F.broadcast(corpus), "metric").join(
-        lang.withColumnRenamed("metric", "_metric"), (F.col("metric") == F.col("_metric")) & F.col("lang").eqNullSafe(F.col("_lang"))
-    )
-    cut = F.when(F.col("n_docs") >= min_docs, F.col("cut")).otherwise(
-        F.when(F.col("lang_docs") >= min_docs, F.col("lang_cut")).otherwise(F.col("corpus_cut"))
+def group_cuts(sketches: DataFrame, prior: float, spread: int) -> DataFrame:
+    """(lang, source, cut_...): q90 + spread * (q90 - q50 + mean) of each blended sketch."""
+    keys = ["lang", "source", "metric"]
+    w = Window.partitionBy(*keys)
+    ranked = blended(sketches, prior).select(
+        *keys, "bucket", "w", F.sum("w").over(w).alias("all"), F.sum("w").over(w.orderBy("bucket")).alias("upto")
     )
-    return joined.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("metric") == m, cut)).alias(f"cut_{m}") for m in METRICS]
+    # Sums of doubles: what misses a quantile by rounding still counts as reaching it.
+    reached = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all") - 1e-6, F.col("bucket")))
+    read = ranked.groupBy(*keys).agg(
+        reached(0.5).alias("q50"), reached(0.9).alias("q90"), (F.sum(F.col("bucket") * F.col("w")) / F.max("all")).alias("mean")
     )
+    cut = F.floor(F.col("q90") + spread * (F.col("q90") - F.col("q50") + F.col("mean")) + 1e-6).cast("long")
+    return read.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, cut)).alias(f"cut_{m}") for m in METRICS])
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 200, spread: int = 4, salts: int = 32) -> DataFrame:
+def quality_rules(docs: DataFrame, prior: float = 100.0, spread: int = 5, salts: int = 32) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, text_h (xxhash64 of the text) and the metrics with
     their ``cut_`` thresholds.
@@ -179,7 +180,7 @@ def quality_rules(docs: DataFrame, min_docs: int = 200, spread: int = 4, salts:
     """
     metrics = materialize(with_metrics(document_counts(docs)), "quality-metrics")
     sketches = materialize(sketch(metrics), "quality-sketch")
-    cuts = materialize(group_cuts(sketches, min_docs, spread), "quality-cuts").select(
+    cuts = materialize(group_cuts(sketches, prior, spread), "quality-cuts").select(
         F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"cut_{m}" for m in METRICS]
     )
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))

@@ -5,13 +5,13 @@ _ALNUM = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x
 
 OP6 = rf"""
 WITH line AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS d, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents),
 keyed AS (
   SELECT *, {_LOWER.format(r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')")} AS k FROM line),
-hot AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-judged AS (SELECT l.*, h.k IS NOT NULL AND l.doc_id <> h.keeper AS gone FROM keyed l LEFT JOIN hot h ON l.k = h.k)
+hot AS (SELECT k, max(d) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT d) >= 3),
+judged AS (SELECT l.*, h.k IS NOT NULL AND l.d <> h.keeper AS gone FROM keyed l LEFT JOIN hot h ON l.k = h.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
@@ -37,21 +37,7 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_METRICS = {"m_symbols": 60, "m_dup_lines": 250, "m_repeats": 150, "m_upper": 300, "m_word_len": 400}
-
-
-def _cuts(by: str) -> str:
-    keys = ", ".join(filter(None, [by, "metric"]))
-    width = " ".join(f"WHEN '{m}' THEN {w}" for m, w in _METRICS.items())
-    return f"""
-  SELECT {keys}, n_docs, q50 + greatest(CASE metric {width} END, 4 * (q90 - q50)) AS cut FROM (
-    SELECT {keys}, max(n_docs) AS n_docs, min(bucket) FILTER (upto * 2 >= n_docs) AS q50,
-           min(bucket) FILTER (upto * 10 >= n_docs * 9) AS q90
-    FROM (SELECT {keys}, bucket, sum(n) OVER (PARTITION BY {keys}) AS n_docs,
-                 sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto
-          FROM (SELECT {keys}, bucket, sum(n) AS n FROM sketch GROUP BY ALL))
-    GROUP BY {keys})"""
-
+_METRICS = ("m_symbols", "m_dup_lines", "m_repeats", "m_upper", "m_word_len")
 
 OP4 = rf"""
 WITH d AS (
@@ -83,13 +69,23 @@ v AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM
 sketch AS (
   SELECT lang, source, metric, v - v % (CASE WHEN length(bin(v)) > 6 THEN 1 << (length(bin(v)) - 6) ELSE 1 END) AS bucket, count(*) AS n
   FROM v GROUP BY ALL),
-own AS ({_cuts("lang, source")}),
-lng AS ({_cuts("lang")}),
-crp AS ({_cuts("")}),
+crp AS (SELECT metric, bucket, sum(n) / sum(sum(n)) OVER (PARTITION BY metric) AS share FROM sketch GROUP BY metric, bucket),
+lng AS (SELECT lang, metric, bucket, sum(n) AS n FROM sketch GROUP BY lang, metric, bucket),
+mix AS (
+  SELECT z.lang, z.metric, c.bucket, (coalesce(lng.n, 0) + 100 * c.share) / (z.docs + 100) AS part
+  FROM (SELECT lang, metric, sum(n) AS docs FROM lng GROUP BY lang, metric) z JOIN crp c USING (metric)
+  LEFT JOIN lng ON lng.lang IS NOT DISTINCT FROM z.lang AND lng.metric = z.metric AND lng.bucket = c.bucket),
+bl AS (
+  SELECT g.lang, g.source, g.metric, mix.bucket, 100 * mix.part + coalesce(s.n, 0) AS w
+  FROM (SELECT DISTINCT lang, source, metric FROM sketch) g
+  JOIN mix ON mix.lang IS NOT DISTINCT FROM g.lang AND mix.metric = g.metric
+  LEFT JOIN sketch s ON s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source AND s.metric = g.metric AND s.bucket = mix.bucket),
+up AS (
+  SELECT *, sum(w) OVER (PARTITION BY lang, source, metric) AS al, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto FROM bl),
 cuts AS (
-  SELECT own.lang, own.source, own.metric,
-         CASE WHEN own.n_docs >= 200 THEN own.cut WHEN lng.n_docs >= 200 THEN lng.cut ELSE crp.cut END AS cut
-  FROM own JOIN lng ON own.metric = lng.metric AND own.lang IS NOT DISTINCT FROM lng.lang JOIN crp ON own.metric = crp.metric),
+  SELECT lang, source, metric, floor(q90 + 5 * (q90 - q50 + mean) + 1e-6) AS cut FROM (
+    SELECT lang, source, metric, min(bucket) FILTER (upto >= 0.5 * al - 1e-6) AS q50, min(bucket) FILTER (upto >= 0.9 * al - 1e-6) AS q90,
+           sum(bucket * w) / max(al) AS mean FROM up GROUP BY lang, source, metric)),
 wide AS (
   SELECT lang, source, {", ".join(f"max(cut) FILTER (metric = '{m}') AS cut_{m}" for m in _METRICS)} FROM cuts GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -99,15 +95,22 @@ FROM m LEFT JOIN wide ON m.lang IS NOT DISTINCT FROM wide.lang AND m.source IS N
 
 
 def _mixing(share: float, power: float, iterations: int, rounds: int) -> str:
-    symbols = "length(regexp_replace(coalesce(text, ''), '[#*$%&|<>{}=;]+', '', 'g'))"
+    from marginalia.llm.mixing import TOPICS
+
+    hits = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in listed)}))) AS n_{t}" for t, listed in TOPICS.items())
+    most = f"greatest({', '.join(f'n_{t}' for t in TOPICS)})"
+    named = " ".join(f"WHEN {most} > 0 AND n_{t} = {most} THEN '{t}'" for t in sorted(TOPICS))
+    without = lambda marks: f"length(text) - length(regexp_replace(text, '[{marks}]+', '', 'g'))"
     parts = [rf"""
+word AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+hit AS (SELECT *, {hits} FROM word),
 docs AS MATERIALIZED (
-  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
-         CASE WHEN length(coalesce(text, '')) = 0 THEN 'empty'
-              WHEN (length(coalesce(text, '')) - {symbols}) * 20 > length(coalesce(text, '')) THEN 'structured'
-              WHEN length(coalesce(text, '')) < 800 THEN 'short'
-              WHEN length(coalesce(text, '')) < 4000 THEN 'medium' ELSE 'long' END AS topic
-  FROM documents),
+  SELECT doc_id, source, lang, len(w) AS n_tokens,
+         CASE WHEN len(w) = 0 THEN 'empty' {named}
+              WHEN ({without("|")}) * 50 > length(text) THEN 'table'
+              WHEN ({without("#*$%&<>{}=;")}) * 20 > length(text) THEN 'symbols'
+              WHEN ({without("0-9")}) * 10 > length(text) THEN 'figures' ELSE 'general' END AS topic
+  FROM hit),
 cell AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL)"""]
     for m in ("source", "lang", "topic"):
         parts.append(
@@ -142,4 +145,4 @@ FROM docs d LEFT JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS
 """
 
 
-OP9 = _mixing(0.5, 0.5, 8, 12)
+OP9 = _mixing(0.5, 0.5, 25, 12)

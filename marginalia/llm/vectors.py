@@ -119,7 +119,8 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         if held and keys[0] != last:
             yield pa.Table.from_batches(held)
             held = []
-        cut = int(np.searchsorted(keys != keys[-1], False)) if keys[0] != keys[-1] else 0
+        # The batch's last run may go on in the next one.
+        cut = len(keys) - int(np.argmax(keys[::-1] != keys[-1])) if keys[0] != keys[-1] else 0
         if cut:
             yield pa.Table.from_batches([*held, batch.slice(0, cut)])
             held = []
