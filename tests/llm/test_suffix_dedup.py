@@ -32,7 +32,7 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
+@pytest.mark.parametrize("hot", [16_384, 1])
 def test_matches_brute_force(spark, sf_tiny, hot):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 8))) for _ in range(400)]
@@ -45,6 +45,19 @@ def test_matches_brute_force(spark, sf_tiny, hot):
     want = brute([(t or "").encode() for t in texts], 400)
     got = {3 if r.doc_id is None else r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out}
     assert [got[i] for i in range(len(texts))] == want
+    repeated = {3 if r.doc_id is None else r.doc_id: r.n_repeated for r in out}
+    assert [repeated[i] for i in range(len(texts))] == [w[1] for w in brute([(t or "").encode() for t in texts], 224)]
+
+
+def test_long_texts_repeated_rows_and_shared_ids(spark):
+    rng = random.Random(8)
+    raw = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    big = raw(300_000)
+    texts = [big, raw(2000) + big[100_000:100_900] + raw(50), raw(500), raw(500), "\0\1" * 400]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[2]), (None, texts[3]), (None, texts[3]), (3, texts[4])]
+    out = dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute([t.encode() for _, t in rows], 400)
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == sorted(want)
 
 
 def test_empty_table(spark):
