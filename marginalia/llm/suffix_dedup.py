@@ -294,9 +294,10 @@ def repeated_intervals(docs: DataFrame, length: int, passage: int, k: int, hot:
     texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_h"), text_or_empty().cast("binary").alias("text"))
     long = texts.where(F.octet_length("text") >= passage)
     found = materialize(long.mapInArrow(_find(length, passage, k), _FOUND), "contexts")
-    repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written first, so that the join below can split the rows of a frequent anchor.
+    repeated = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-anchors")
     live = materialize(found.join(repeated, "key", "left_semi"), "live-contexts")
-    discard(found)
+    discard(found, repeated)
     same = ["key", "c"]
     distinct = materialize(
         live.groupBy(*same).agg(
