@@ -2,9 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that ``run`` writes as
 Parquet and reads again for the next one; all but the last return the columns of
-``documents``. Nulls, empty and repeated rows follow the operators' docstrings: a
-document without words is rejected by the quality rules, a null doc_id takes no part in
-comparisons, repeated rows of one document collapse to one in the Jaccard stage.
+``documents``, also where further columns have names that the operators use. Nulls,
+empty and repeated rows follow the stages' docstrings: a document without words is
+rejected by the quality rules, a null doc_id takes no part in the Jaccard stage, where
+repeated rows of one document collapse to one. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules
-from marginalia.llm.common import bounded_broadcast, materialize, table, without
+from marginalia.llm.common import bounded_broadcast, discard, materialize, table, text_or_empty, without
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts among them. Repeated
+    rows are judged alike; a null lang or source is a group of its own."""
     judged = quality_rules.quality_rules(docs)
     return without(docs, judged.where("NOT kept").select("doc_id", "text_h"))
 
@@ -34,21 +36,29 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: that of least doc_id."""
-    classes = materialize(jaccard_join.jaccard_join(docs), "classes").where("doc_id IS NOT NULL")
-    losers = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_l")).distinct()
-    kept = docs.join(bounded_broadcast(losers), F.col("doc_id") == F.col("_l"), "left_anti")
-    repeated = classes.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_r"))
+    """One document of each class of near duplicates stays: that of least doc_id, and of
+    least text hash where rows share it. Of fully repeated rows one stays. Texts without
+    words and rows with a null doc_id are compared with nothing and stay."""
+    found = jaccard_join.near_duplicates(docs).where("n_links > 0").select("doc_id", "text_h", "class_key")
+    linked = materialize(found, "linked")
+    keepers = linked.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_h")).alias("keeper"))
+    keepers = bounded_broadcast(materialize(keepers, "keepers"))
+    losers = linked.join(keepers, "class_key").where(F.struct("doc_id", "text_h") != F.col("keeper"))
+    kept = without(docs, losers)
+    repeated = materialize(linked.groupBy("doc_id", "text_h").count().where("count > 1").select("doc_id", "text_h"), "repeated")
     if repeated.isEmpty():
         return kept
-    same = F.col("doc_id") == F.col("_r")
-    repeated = bounded_broadcast(repeated)
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+    # The rows of one document and text are the same but for their other columns.
+    marked = kept.withColumn("_text_h", F.xxhash64(text_or_empty()))
+    again = bounded_broadcast(repeated.select(F.col("doc_id").alias("_r_id"), F.col("text_h").alias("_r_h")))
+    same = (F.col("doc_id") == F.col("_r_id")) & (F.col("_text_h") == F.col("_r_h"))
+    once = marked.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_h"])
+    return marked.join(again, same, "left_anti").unionByName(once).drop("_text_h")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, all rows that repeat them too.
+    Null and empty texts hold none and stay; a null doc_id is a document like any other."""
     return without(docs, decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_h"))
 
 
@@ -73,8 +83,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 

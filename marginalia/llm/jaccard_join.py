@@ -1,13 +1,17 @@
 """N-gram Jaccard self-join by chosen paths.
 
 Documents become sets of word shingles; equal sets collapse to one representative.
-A run of the join walks a forest: at a node the path picks one or two MinHash
-coordinates (1.25 on average, the inverse of the similarity 0.8), and every set
-moves to the child named by its value there. Nodes of one set end, small nodes are
-compared by brute force on the signatures, large nodes split again. Independent
-runs repeat until their number gives the wanted recall. What similar signatures
-link is only a candidate group: inside each group all sets are compared exactly,
-large groups in blocks, and links are counted without writing pairs.
+Each set is embedded by MinHash: a coordinate holds the token of the set that comes first
+in a random order, so it is a token sampled without looking at the other sets, and two
+sets have it in common with the probability of their Jaccard similarity. A run of the
+join walks a forest: at a node the path picks one or two coordinates (1.25 on average,
+the inverse of the similarity 0.8), and every set moves to the child named by its
+sampled token there. Nodes of one set end, small nodes are compared by brute force on the
+signatures, large nodes split again. Runs repeat until their number gives the wanted
+recall; as they share the coordinates, that number is averaged over how many of them a
+pair has in common. What similar signatures link is only a candidate group: inside
+each group all sets are compared exactly, large groups in blocks, and links are
+counted without writing pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, text_or_empty
+from marginalia.llm.common import bounded_broadcast, materialize, text_or_empty
 from marginalia.llm.components import connected_components
 from marginalia.llm.vectors import mix, runs, shingle_sets, slices
 
@@ -78,20 +82,20 @@ def _signatures(k: int):
                 packed = [None if not s else row.tobytes() for s, row in zip(some, signature, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, n),
+                        batch.column("doc_id").slice(lo, n), batch.column("text_h").slice(lo, n),
                         pa.array(s1.astype(np.int64)), pa.array(s2.astype(np.int64)), pa.array(size.astype(np.int64)),
                         pa.array(packed, pa.binary()),
                     ],
-                    names=["doc_id", "s1", "s2", "n", "signature"],
+                    names=["doc_id", "text_h", "s1", "s2", "n", "signature"],
                 )
 
     return run
 
 
 def set_signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, s1, s2, n, signature): digest, size and MinHash signature of each set."""
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(_signatures(k), "doc_id long, s1 long, s2 long, n long, signature binary")
+    """(doc_id, text_h, s1, s2, n, signature): digest, size and MinHash signature of each set."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("text_h"), text_or_empty().cast("binary").alias("text"))
+    return rows.mapInArrow(_signatures(k), "doc_id long, text_h long, s1 long, s2 long, n long, signature binary")
 
 
 def _choose(rows: DataFrame) -> DataFrame:
@@ -257,30 +261,31 @@ def _exact(similarity: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: float = 0.99999) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links.
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: float = 0.99999) -> DataFrame:
+    """One row per input row: doc_id, text_h, class_key, class_id, n_links.
 
-    Two documents link when the Jaccard similarity of their sets of ``k``-word
-    shingles is at least ``similarity``; words are separated by whitespace and compared
-    as they are. ``class_id`` is the least doc_id of the documents connected by links,
-    ``n_links`` the number of other rows that link to the row, copies included. A text
-    of fewer than ``k`` words is one shingle; texts without words, and rows with a null
-    doc_id, link to nothing and are their own class. Repeated rows are copies.
+    ``class_key`` tells classes apart, also those whose least doc_id is the same because
+    rows share a doc_id but not a text; it is null for rows that are in no comparison. See
+    :func:`jaccard_join` for the rest. Sets go by their 64-bit digest.
     """
     signed = materialize(set_signatures(docs, k), "signatures")
     live = signed.where("doc_id IS NOT NULL AND n > 0")
     groups = materialize(
-        live.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets"
+        live.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.col("s1")),
+        "sets",
     )
-    own = live.join(groups, (live.doc_id == groups.rep) & (live.s1 == groups.s1) & (live.s2 == groups.s2), "left_semi")
-    sets = materialize(own.select(F.col("doc_id").alias("rep"), "signature").dropDuplicates(["rep"]), "reps")
+    # Any text of a set will do, as long as it is one.
+    first = (live.doc_id == groups.least_id) & (live.s1 == groups.s1) & (live.s2 == groups.s2)
+    own = live.join(groups, first, "left_semi").select(F.col("s1").alias("rep"), "doc_id", "text_h", "signature").dropDuplicates(["rep"])
+    sets = materialize(own, "reps")
     candidates = connected_components(candidate_edges(sets, similarity, recall)).withColumnRenamed("node", "rep")
     members = materialize(candidates, "candidate-groups")
     large = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     sized = members.join(large, "root").join(groups.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().cast("binary").alias("text"))
-    wanted = texts.join(members.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_h"), text_or_empty().cast("binary").alias("text"))
+    places = sets.join(members, "rep", "left_semi").select("rep", "doc_id", "text_h")
+    wanted = texts.join(places, ["doc_id", "text_h"]).select("rep", "text").dropDuplicates(["rep"])
     shingles = materialize(wanted.mapInArrow(_shingle_rows(k), "rep long, shingles binary"), "shingles")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     placed = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -296,18 +301,39 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: f
     )
     links = checked.groupBy("rep").agg(F.sum("n_links").alias("n_links"), F.min("peer").alias("peer"), F.max("large").alias("large"))
     roots = connected_components(checked.where("large").select(F.col("rep").alias("a"), F.col("peer").alias("b")))
-    classes = links.join(roots, links.rep == roots.node, "left").select(
-        "rep", "n_links", F.when(F.col("large"), F.coalesce("root", F.col("rep"))).otherwise(F.col("peer")).alias("class_id")
+    label = F.when(F.col("large"), F.coalesce("root", F.col("rep"))).otherwise(F.col("peer"))
+    labelled = materialize(
+        links.join(roots, links.rep == roots.node, "left").select("rep", "n_links", label.alias("class_key")).join(groups.select("rep", "least_id"), "rep"),
+        "labels",
     )
+    # A class has the least doc_id of its sets; classes of one set are left out.
+    least = labelled.groupBy("class_key").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    classes = labelled.drop("least_id").join(bounded_broadcast(materialize(least, "classes")), "class_key")
     # Rows of sets that are alone keep themselves; only the others are looked up.
     known = groups.join(classes, "rep", "left").where("copies > 1 OR class_id IS NOT NULL").select(
         "s1", "s2", "n",
-        F.coalesce("class_id", "rep").alias("class_id"),
+        F.coalesce("class_key", "rep").alias("class_key"), F.coalesce("class_id", "least_id").alias("class_id"),
         (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    rows = signed.select("doc_id", "s1", "s2", "n")
+    rows = signed.select("doc_id", "text_h", "s1", "s2", "n")
+    in_play = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return rows.join(known, ["s1", "s2", "n"], "left").select(
-        "doc_id",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-    )
+        "doc_id", "text_h",
+        F.when(in_play, F.coalesce("class_key", "s1")).alias("class_key"),
+        F.when(in_play, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(in_play, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    )
+
+
+def jaccard_join(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: float = 0.99999) -> DataFrame:
+    """One row per input row: doc_id, class_id, n_links.
+
+    Two documents link when the Jaccard similarity of their sets of ``k``-word
+    shingles is at least ``similarity``; words are separated by whitespace and compared
+    as they are. ``class_id`` is the least doc_id of the documents connected by links,
+    ``n_links`` the number of other rows that link to the row, copies included. A text
+    of fewer than ``k`` words is one shingle; texts without words, and rows with a null
+    doc_id, link to nothing and are their own class. Repeated rows are copies; rows that
+    share a doc_id but not a text are documents of their own.
+    """
+    return near_duplicates(docs, similarity, k, recall).select("doc_id", "class_id", "n_links")

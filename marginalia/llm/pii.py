@@ -4,9 +4,11 @@ Native only. Generators are regular expressions: four base kinds that a validato
 confirms, and wide nets for keys, local phone numbers, account numbers and long digit
 groups. A split by the same expression gives the gaps between matches, so positions
 are running sums. Every candidate gets format and context features; trees boosted on a
-bounded sample of candidates, shared out among the kinds, become one CASE expression. A
-kind's threshold is the least that reaches the wanted precision on all its candidates
-outside that sample, counted by score.
+bounded sample of the nets' candidates, shared out among the kinds, become one CASE
+expression. Labels come from the words before a span that name its kind; those words
+are no features, so the trees have to tell from the format and the marks around a span
+what is usually named so. A kind's threshold is the least that reaches the wanted precision on
+all its candidates outside that sample, counted by score.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
     "account": "[A-Z]{2}[0-9]{2}", "digits": r"[0-9][\x20./-]?[0-9]", "local": "[0-9]{3}", "secret": "[A-Za-z0-9_+/=-]{20}"
 }
 ORDER = [*BASE, *NETS]
-#: Words before a span that name what follows.
+#: Words before a span that name what follows. They label and are no features.
 CUES = {
     "cue_key": r"(?i)(token|secret|passw|api|key|bearer|credential)",
     "cue_call": r"(?i)(tel|phone|call|fax|mobile|contact)",
@@ -48,21 +50,36 @@ CUES = {
 }
 FEATURES = (
     "x_kind", "x_len", "x_digits", "x_letters", "x_upper", "x_seps", "x_groups", "x_distinct", "x_luhn", "x_mixed",
-    "x_word_before", "x_word_after", "x_quoted", *CUES,
+    "x_word_before", "x_word_after", "x_quoted", "x_assigned", "x_line_start", "x_bracket",
 )
 
 
-def _matches(docs: DataFrame, kind: str, pattern: str) -> DataFrame:
-    """(doc_id, text_h, kind, i, gap, found, before, after) of the leftmost non-overlapping matches."""
-    near = docs.where(F.col("text").rlike(NEEDS[kind])).select(
-        "doc_id", "text_h", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.split("text", pattern, -1).alias("p")
-    )
-    both = near.where(F.size("m") > 0).select("doc_id", "text_h", "p", F.posexplode("m").alias("i", "found"))
-    gap = F.get("p", F.col("i"))
-    return both.select(
-        "doc_id", "text_h", F.lit(kind).alias("kind"), "i", F.char_length(gap).alias("gap"), "found",
-        F.right(gap, F.lit(24)).alias("before"), F.left(F.get("p", F.col("i") + 1), F.lit(2)).alias("after"),
-    )
+def _generated(kind: str) -> tuple[Column, Column]:
+    """The leftmost non-overlapping matches of a kind and the gaps around them; texts that
+    cannot match are not searched, those without a match not split."""
+    matches = F.when(F.col("text").rlike(NEEDS[kind]), F.regexp_extract_all("text", F.lit((BASE | NETS)[kind]), F.lit(0)))
+    gaps = F.when(F.size(f"m_{kind}") > 0, F.split("text", (BASE | NETS)[kind], -1))
+    return matches.alias(f"m_{kind}"), gaps.alias(f"p_{kind}")
+
+
+def _matches(texts: DataFrame) -> DataFrame:
+    """(doc_id, text_h, kind, i, gap, found, before, after) of all generators, in one scan."""
+    made = {kind: _generated(kind) for kind in ORDER}
+    hit = texts.select("doc_id", "text_h", "text", *[m for m, _ in made.values()])
+    hit = hit.where(F.greatest(*[F.coalesce(F.size(f"m_{k}"), F.lit(0)) for k in ORDER]) > 0)
+    hit = hit.select("doc_id", "text_h", *[f"m_{k}" for k in ORDER], *[p for _, p in made.values()])
+
+    def proposals(kind: str) -> Column:
+        gap = lambda i: F.get(f"p_{kind}", i)
+        return F.transform(
+            F.coalesce(f"m_{kind}", F.array().cast("array<string>")),
+            lambda found, i: F.struct(
+                F.lit(kind).alias("kind"), i.alias("i"), F.char_length(gap(i)).alias("gap"), found.alias("found"),
+                F.right(gap(i), F.lit(24)).alias("before"), F.left(gap(i + 1), F.lit(2)).alias("after"),
+            ),
+        )
+
+    return hit.select("doc_id", "text_h", F.inline(F.concat(*[proposals(k) for k in ORDER])))
 
 
 def luhn(digits: Column) -> Column:
@@ -82,11 +99,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     points, end exclusive. ``base`` marks the base kinds' confirmed matches."""
     texts = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("text_h"))
     # Rows that share id and text would sum their gaps twice.
-    found = None
-    for kind, pattern in (BASE | NETS).items():
-        part = _matches(texts, kind, pattern)
-        found = part if found is None else found.unionByName(part)
-    found = materialize(found.distinct(), "pii-matches")
+    found = _matches(texts).distinct()
     until = Window.partitionBy("doc_id", "text_h", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.char_length("found")).over(until)
     placed = found.withColumn("end", end).withColumn("start", F.col("end") - F.char_length("found"))
@@ -113,7 +126,10 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.size(F.regexp_extract_all("found", F.lit("[0-9][A-Za-z]|[A-Za-z][0-9]"), F.lit(0))).cast("double").alias("x_mixed"),
         F.col("before").rlike("[0-9A-Za-z]$").cast("double").alias("x_word_before"),
         F.col("after").rlike("^[0-9A-Za-z]").cast("double").alias("x_word_after"),
-        F.col("before").rlike("[\"'=:]$").cast("double").alias("x_quoted"),
+        F.col("before").rlike("[\"'`]$").cast("double").alias("x_quoted"),
+        F.col("before").rlike("[=:]\\x20*[\"'`]?$").cast("double").alias("x_assigned"),
+        F.col("before").rlike("(^|\n)$").cast("double").alias("x_line_start"),
+        F.col("before").rlike("[(\\[{|]\\x20?$").cast("double").alias("x_bracket"),
         *[F.col("before").rlike(p).cast("double").alias(c) for c, p in CUES.items()],
     )
 
@@ -201,18 +217,19 @@ def shares(counts: dict[str, int], rows: int) -> dict[str, float]:
 
 
 def weak_label(spans: DataFrame) -> DataFrame:
-    """``spans`` plus ``y``: base kinds by their validator, nets by a naming cue and a
-    well-formed body."""
-    named = (F.col("kind") == "secret") & (F.col("cue_key") > 0) & (F.col("x_mixed") >= 2)
-    called = (F.col("kind") == "local") & (F.col("cue_call") > 0) & F.col("x_digits").between(7, 12)
-    banked = F.col("kind").isin("account", "digits") & (F.col("cue_bank") > 0) & (F.col("x_digits") >= 8)
-    return spans.withColumn("y", (F.col("base") | named | called | banked).cast("int"))
+    """The candidates of the nets plus ``y``: whether a word before the span names its kind.
+
+    The trees never see those words. They learn from format and marks which spans are
+    like the named ones, and so also find spans that nothing names.
+    """
+    named = F.when(F.col("kind") == "secret", F.col("cue_key")).when(F.col("kind") == "local", F.col("cue_call")).otherwise(F.col("cue_bank"))
+    return spans.where(F.col("kind").isin(*NETS)).withColumn("y", (named > 0).cast("int"))
 
 
 def scored(spans: DataFrame, max_rows: int, precision: float) -> DataFrame:
     """``spans`` plus (score, picked). Trees learn from about half of ``max_rows``
     candidates, taken by hash, thresholds are calibrated on all others."""
-    kinds = dict(spans.groupBy("kind").count().collect())
+    kinds = dict(spans.where(F.col("kind").isin(*NETS)).groupBy("kind").count().collect())
     part = F.pmod(F.xxhash64("doc_id", "text_h", "kind", "start"), F.lit(1 << 40)) / float(1 << 40)
     share = F.lit(0.0)
     for kind, s in shares(kinds, max_rows // 2).items():
@@ -230,7 +247,7 @@ def scored(spans: DataFrame, max_rows: int, precision: float) -> DataFrame:
     score = 1.0 / (1.0 + F.exp(-total))
     # A score counts by its first four digits, so that at most 10 001 a kind are told apart.
     step = F.floor(score * 10_000).cast("int")
-    held = labelled.where((part >= share) & F.col("kind").isin(*NETS)).groupBy("kind", step.alias("step"))
+    held = labelled.where(part >= share).groupBy("kind", step.alias("step"))
     cuts = calibrated(held.agg(F.count(F.lit(1)), F.sum("y")).collect(), precision)
     picked = F.lit(False)
     for kind, cut in cuts.items():
@@ -242,12 +259,11 @@ def scored(spans: DataFrame, max_rows: int, precision: float) -> DataFrame:
 def pii_spans(docs: DataFrame, max_rows: int = 20_000, precision: float = 0.95) -> DataFrame:
     """(doc_id, text_h, kind, start, end, base, score): the spans to redact.
 
-    Confirmed base spans always stay. Other candidates, failed base matches included
-    among the training rows only, are selected by their score; one that overlaps a
-    base span is left to it.
+    Confirmed base spans always stay, failed base matches go. Candidates of the nets are
+    selected by their score; one that overlaps a base span is left to it.
     """
     spans = materialize(candidates(docs), "pii-candidates")
-    judged = scored(spans, max_rows, precision).where("base OR picked")
+    judged = scored(spans, max_rows, precision).where(F.col("base") | (F.col("picked") & F.col("kind").isin(*NETS)))
     by_start = Window.partitionBy("doc_id", "text_h").orderBy("start", "end", "kind")
     before, after = by_start.rowsBetween(Window.unboundedPreceding, -1), by_start.rowsBetween(1, Window.unboundedFollowing)
     ended = F.max(F.when(F.col("base"), F.col("end"))).over(before)
@@ -259,7 +275,7 @@ def pii_spans(docs: DataFrame, max_rows: int = 20_000, precision: float = 0.95)
 
 
 def find_pii(docs: DataFrame, max_rows: int = 20_000, precision: float = 0.95) -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
     Null texts are empty; texts without spans hash and list the empty string. Repeated
     rows get the same spans each. A null doc_id is a document like any other.
@@ -268,12 +284,12 @@ def find_pii(docs: DataFrame, max_rows: int = 20_000, precision: float = 0.95) -
     entry = F.struct(rank.alias("r"), F.col("start"), F.col("end"), "kind", "base")
     found = pii_spans(docs, max_rows, precision).groupBy("doc_id", "text_h").agg(
         *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in BASE],
-        F.array_sort(F.collect_list(entry)).alias("all"),
+        F.array_sort(F.collect_list(entry)).alias("all"), F.count(F.lit(1)).alias("n_all"),
     )
     show = lambda items: F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     found = found.select(
         F.col("doc_id").alias("_id"), F.col("text_h").alias("_h"), *[f"n_{k}" for k in BASE],
-        show(F.filter("all", lambda x: x["base"])).alias("base_list"), show(F.col("all")).alias("spans"),
+        show(F.filter("all", lambda x: x["base"])).alias("base_list"), show(F.col("all")).alias("spans"), "n_all",
     )
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_h"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_h") == F.col("_h")), "left")
@@ -282,4 +298,5 @@ def find_pii(docs: DataFrame, max_rows: int = 20_000, precision: float = 0.95) -
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.coalesce("base_list", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
+        F.coalesce("n_all", F.lit(0)).cast("long").alias("n_spans"),
     )

@@ -58,3 +58,13 @@ def test_empty_table_and_null_id(spark):
 def test_runs_follow_recall():
     assert runs_for(0.9, 0.8) < runs_for(0.999, 0.8)
     assert runs_for(0.99, 0.8) == pytest.approx(5, abs=1)
+
+
+def test_shared_ids_repeated_rows_and_a_long_text(spark):
+    text = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    near = lambda t: t.replace("30 ", "30x ", 1)
+    a, b, long = text("a"), text("b"), text("c", 40_000)
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, long), (5, near(long)), (5, near(long)), (6, a)]
+    out = sorted(map(tuple, jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert out == brute(rows)
+    assert {r[0]: r[2] for r in out}[3] == 1

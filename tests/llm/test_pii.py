@@ -62,3 +62,15 @@ def test_base_spans_match_brute_force(spark, sf_tiny):
 
 def test_empty_table(spark):
     assert find_pii(spark.createDataFrame([], "doc_id long, text string, kind string")).collect() == []
+
+
+def test_added_spans_follow_the_format_of_named_ones(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'words token = "{key(i)}" words') for i in range(300)]
+    rows += [(1000 + i, f'words = "{key(1000 + i)}" words') for i in range(8)]
+    rows += [(2000 + i, f"words {'abcdefghij'[i % 10] * 12 + 'longplainword' * 2} words") for i in range(300)]
+    out = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        at = text.find('"') + 1
+        want = f"secret:{at}:{at + 40}" if i < 2000 else ""
+        assert out[i].spans == want and out[i].n_spans == bool(want), i
