@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import discard, materialize
+from marginalia.llm.common import bounded_broadcast, discard, materialize
+
+
+def _minima(edges: DataFrame) -> DataFrame:
+    """(a, m): least neighbour of each node, written first so that the join with it can be
+    a broadcast of checked size or can split the edges of a node with very many."""
+    return bounded_broadcast(materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "minima"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = _minima(both).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _minima(edges)
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -33,8 +39,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         before = now
-        now = materialize(_small_star(_large_star(before)), "edges")
-        discard(before)
+        wide = materialize(_large_star(before), "stars")
+        now = materialize(_small_star(wide), "edges")
+        discard(before, wide)
         seen = tuple(
             now.agg(
                 F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))

@@ -1,10 +1,12 @@
 """Language-model scoring by cross-entropy difference.
 
-Two 4-gram models over one vocabulary of 64 symbols, one of the target documents and
-one of the others, are counted over every document of the corpus. Both are smoothed
-alike, each order backing off to the next. A document's score is the mean over its
-symbols of loss under the target minus loss under the background: the lower, the
-more it is like the target.
+Two bigram models of words, one of the target documents and one of the others, are
+counted over every document of the corpus. They share one vocabulary: the most frequent
+words, bounded by a count that a word must reach, and one symbol for all other words. Both
+are smoothed alike, a bigram backing off to its word. A document's own counts are left
+out of the model that holds them when it is scored. Its score is the mean over its words of
+loss under the target minus loss under the background: the lower, the more it is like
+the target.
 """
 
 from __future__ import annotations
@@ -13,149 +15,176 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bounded_broadcast, materialize, text_or_empty
-from marginalia.llm.vectors import slices
+from marginalia.llm.common import bounded_broadcast, discard, materialize, text_or_empty
+from marginalia.llm.vectors import slices, word_hashes
 
-ORDER, BITS = 4, 6
-#: Pseudo-count with which each order trusts the next lower one.
+#: Most words of the vocabulary and most bigrams that the models tell apart.
+MAX_WORDS, MAX_GRAMS = 32_768, 1_000_000
+#: Pseudo-count with which a bigram trusts its word, and a word the uniform distribution.
 BACKOFF = 4.0
 
 
-def symbol_table() -> np.ndarray:
-    """Byte to symbol: a-z, one class each for A-Z and 0-9, space, newline, other
-    controls, 16 classes of ASCII punctuation and 16 of non-ASCII bytes."""
-    table = np.zeros(256, np.int32)
-    for b in range(256):
-        c = chr(b)
-        if "a" <= c <= "z":
-            table[b] = b - 96
-        elif "A" <= c <= "Z":
-            table[b] = 27
-        elif "0" <= c <= "9":
-            table[b] = 28
-        elif c == " ":
-            table[b] = 29
-        elif b < 0x20 or b == 0x7F:
-            table[b] = 30 if c == "\n" else 31
-        else:
-            table[b] = 32 + b % 16 if b < 0x80 else 48 + b % 16
-    return table
-
-
-def codes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The 4-gram that ends at each byte; a text is preceded by symbol 0."""
-    n = len(offsets) - 1
-    lead = ORDER - 1
-    spread = np.zeros(len(data) + lead * n, np.int32)
-    place = np.arange(len(data)) + np.repeat(np.arange(1, n + 1) * lead, np.diff(offsets))
-    spread[place] = table[data]
-    out = spread.copy()
-    for i in range(1, ORDER):
-        out[i:] |= spread[:-i] << (BITS * i)
-    return out[place]
-
-
-def _count():
-    table = symbol_table()
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [word_hashes(data, offsets)[1] for _, _, data, offsets in slices(batch, "text")]
+        word, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+
+def _rounded(n: Column) -> Column:
+    """A count with its binary digits after the fourth cleared: few different values."""
+    scale = F.pow(F.lit(2), F.greatest(F.length(F.bin(n)) - 4, F.lit(0))).cast("long")
+    return n - n % scale
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of ``counts`` (n) from the least count on that leaves at most ``most`` of them."""
+    sizes = counts.groupBy(_rounded(F.col("n")).alias("from")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("from")).collect()
+    total, least = 0, None
+    for r in sizes:
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["from"]
+    return counts.where(F.col("n") >= least) if least is not None else counts.where("false")
+
+
+def _symbols(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, symbol, symbol before it) of every word. ``words`` is sorted; symbol
+    len(words) is any other word, the next one stands before a text."""
+    doc, word = word_hashes(data, offsets)
+    at = np.searchsorted(words, word)
+    known = np.zeros(len(word), bool)
+    if len(words):
+        known = words[np.minimum(at, len(words) - 1)] == word
+    now = np.where(known, at, len(words))
+    before = np.concatenate((np.zeros(1, np.int64), now[:-1]))[: len(now)]
+    if len(now):
+        before[np.concatenate(([True], doc[1:] != doc[:-1]))] = len(words) + 1
+    return doc, now, before
+
+
+def _gram_counts(words: np.ndarray):
+    width = len(words) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("target").to_numpy(zero_copy_only=False)
+            codes = [np.zeros(0, np.int64)]
             for lo, hi, data, offsets in slices(batch, "text"):
-                if not len(data):
-                    continue
-                gram = codes(data, offsets, table)
-                mine = np.repeat(wanted[lo:hi], np.diff(offsets))
-                value, n = np.unique(gram * 2 + mine, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value >> 1), pa.array(np.where(value & 1, n, 0)), pa.array(np.where(value & 1, 0, n))],
-                    names=["gram", "n_target", "n_background"],
-                )
+                doc, now, before = _symbols(data, offsets, words)
+                codes.append((before * width + now) * 2 + wanted[lo:hi][doc])
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            good = code & 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code >> 1), pa.array(np.where(good, n, 0)), pa.array(np.where(good, 0, n))],
+                names=["gram", "n_target", "n_background"],
+            )
 
     return run
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n_target, n_background) over all rows of ``docs`` (text, target)."""
-    rows = docs.select(text_or_empty().cast("binary").alias("text"), F.col("target").cast("int").alias("target"))
-    found = rows.mapInArrow(_count(), "gram int, n_target long, n_background long")
-    return found.groupBy("gram").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
-
-
-def losses(counts: DataFrame) -> DataFrame:
-    """(gram, loss_target, loss_background) in bits of every counted 4-gram.
-
-    p(d | abc) = (n(abcd) + k p(d | bc)) / (n(abc) + k), down to the uniform 1/64.
-    """
-    models = ("target", "background")
-    level: DataFrame | None = None
-    for order in range(1, ORDER + 1):
-        gram = F.col("gram").bitwiseAND((1 << BITS * order) - 1)
-        own = counts.groupBy(gram.alias("g")).agg(*[F.sum(f"n_{m}").alias(f"n_{m}") for m in models])
-        context = own.groupBy(F.shiftright("g", BITS).alias("c")).agg(*[F.sum(f"n_{m}").alias(f"c_{m}") for m in models])
-        now = own.join(context, F.shiftright("g", BITS) == F.col("c"))
-        if level is None:
-            now = now.select("*", *[F.lit(1.0 / (1 << BITS)).alias(f"q_{m}") for m in models])
-        else:
-            lower = level.select(F.col("g").alias("low"), *[F.col(f"p_{m}").alias(f"q_{m}") for m in models])
-            now = now.join(lower, F.col("g").bitwiseAND((1 << BITS * (order - 1)) - 1) == F.col("low"))
-        level = now.select(
-            "g",
-            *[((F.col(f"n_{m}") + BACKOFF * F.col(f"q_{m}")) / (F.col(f"c_{m}") + BACKOFF)).alias(f"p_{m}") for m in models],
-        )
-        level = materialize(level, f"order-{order}")
-    return level.select(F.col("g").alias("gram"), *[(-F.log2(f"p_{m}")).alias(f"loss_{m}") for m in models])
+class Models:
+    """Both models as dense arrays by symbol and sorted arrays of the frequent bigrams."""
+
+    def __init__(self, words: np.ndarray, unigrams: np.ndarray, grams: np.ndarray, counts: np.ndarray):
+        self.words, self.width = words, len(words) + 2
+        self.unigrams, self.grams, self.counts = unigrams, grams, counts
+        self.contexts = np.zeros_like(unigrams)
+        for m in range(2):
+            self.contexts[m] = np.bincount(grams // self.width, counts[m], self.width)
+        self.totals = unigrams.sum(axis=1)
+
+    def losses(self, doc: np.ndarray, now: np.ndarray, before: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Bits of every word under both models, each without the word's own document.
+
+        p(w) = (n(w) + k / V) / (N + k), p(w | v) = (n(v w) + k p(w)) / (n(v) + k) over
+        the bigrams that are told apart, V being the number of symbols of a text.
+        """
+        code = before * self.width + now
+        place = np.minimum(np.searchsorted(self.grams, code), max(len(self.grams) - 1, 0))
+        kept = self.grams[place] == code if len(self.grams) else np.zeros(len(code), bool)
+
+        def own(symbol: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            _, group = np.unique(doc * np.int64(self.width) ** 2 + symbol, return_inverse=True)
+            return np.bincount(group, weight)[group] if len(group) else np.zeros(0)
+
+        every = np.ones(len(doc))
+        mine = own(now, every), own(before, kept * 1.0), own(code, kept * 1.0) * kept
+        length = np.bincount(doc, minlength=doc.max() + 1 if len(doc) else 0)[doc]
+        out = np.empty((2, len(doc)))
+        for m in range(2):
+            left = target[doc] == (m == 0)
+            pair = (self.counts[m][place] * kept if len(self.grams) else 0) - mine[2] * left
+            word = (self.unigrams[m][now] - mine[0] * left + BACKOFF / (self.width - 1)) / (self.totals[m] - length * left + BACKOFF)
+            p = (pair + BACKOFF * word) / (self.contexts[m][before] - mine[1] * left + BACKOFF)
+            out[m] = -np.log2(p)
+        return out
 
 
 def _score(shared):
-    table = symbol_table()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, lt, lb = shared.value
-        dense = np.zeros((2, 1 << BITS * ORDER), np.float32)
-        dense[0, gram], dense[1, gram] = lt, lb
+        models: Models = shared.value
         for batch in batches:
+            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, data, offsets in slices(batch, "text"):
-                n = np.diff(offsets)
-                some = n > 0
-                sums = np.zeros((2, hi - lo))
-                if some.any():
-                    code = codes(data, offsets, table)
-                    for k in range(2):
-                        sums[k, some] = np.add.reduceat(dense[k][code], offsets[:-1][some], dtype=np.float64)
-                mean = sums / np.maximum(n, 1)
+                doc, now, before = _symbols(data, offsets, models.words)
+                bits = models.losses(doc, now, before, target[lo:hi])
+                n = np.bincount(doc, minlength=hi - lo)
+                mean = [np.bincount(doc, b, hi - lo) / np.maximum(n, 1) for b in bits]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(mean[0]), pa.array(mean[1])],
-                    names=["doc_id", "n_symbols", "loss_target", "loss_background"],
+                    names=["doc_id", "n_tokens", "loss_target", "loss_background"],
                 )
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_symbols, loss_target, loss_background, score.
+def _sorted_columns(df: DataFrame, key: str, *values: str) -> list[np.ndarray]:
+    got = df.select(key, *values).toArrow()
+    columns = [got[c].to_numpy() for c in (key, *values)]
+    order = np.argsort(columns[0].view(np.uint64) if key == "word" else columns[0])
+    return [c[order] for c in columns]
+
+
+def train(marked: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Models:
+    """Models of the rows of ``marked`` (text binary, target int), counted over all of them."""
+    words = materialize(marked.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    vocabulary = _sorted_columns(frequent(words, max_words), "word")[0].view(np.uint64)
+    counted = marked.mapInArrow(_gram_counts(vocabulary), "gram long, n_target long, n_background long")
+    grams = materialize(counted.groupBy("gram").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background")), "grams")
+    discard(words)
+    width = len(vocabulary) + 2
+    single = grams.groupBy((F.col("gram") % width).alias("word")).agg(F.sum("n_target").alias("t"), F.sum("n_background").alias("b"))
+    unigrams = np.zeros((2, width))
+    for r in single.toArrow().to_pylist():
+        unigrams[:, r["word"]] = r["t"], r["b"]
+    kept = frequent(grams.withColumn("n", F.col("n_target") + F.col("n_background")), max_grams)
+    gram, t, b = _sorted_columns(kept, "gram", "n_target", "n_background")
+    discard(grams)
+    return Models(vocabulary, unigrams, gram, np.array([t, b], np.float64).reshape(2, -1))
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, loss_target, loss_background, score.
 
     ``target`` lists the doc_ids of the target documents; all other rows, those with a
-    null doc_id too, are background. Losses are mean bits per symbol (UTF-8 byte class).
-    Null and empty texts score 0. Without target documents its model is uniform.
-    The table of losses holds at most 64**4 rows whatever the corpus, which bounds what
-    the driver passes to the executors; the counts behind it come from all documents.
+    null doc_id too, are background. Tokens are whitespace-separated words as they are; losses
+    are mean bits per token. Null and empty texts score 0. Without target documents its
+    model is uniform. Repeated rows count as often as they occur; a row leaves out itself only.
+
+    All words and all bigrams of all documents are counted; what the executors get to score
+    with are the at most ``max_words`` most frequent words and the at most ``max_grams``
+    most frequent bigrams, of both models together.
     """
-    spark = docs.sparkSession
     ids = target.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_t")).distinct()
-    marked = docs.select("doc_id", "text").join(bounded_broadcast(ids), F.col("doc_id") == F.col("_t"), "left")
-    counts = materialize(gram_counts(marked.select("text", F.col("_t").isNotNull().alias("target"))), "grams")
-    learned = losses(counts).toArrow()
-    shared = spark.sparkContext.broadcast(
-        (
-            learned["gram"].to_numpy(),
-            learned["loss_target"].to_numpy().astype(np.float32),
-            learned["loss_background"].to_numpy().astype(np.float32),
-        )
+    marked = docs.select("doc_id", "text").join(bounded_broadcast(ids), F.col("doc_id") == F.col("_t"), "left").select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), F.col("_t").isNotNull().cast("int").alias("target")
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    scored = rows.mapInArrow(_score(shared), "doc_id long, n_symbols long, loss_target double, loss_background double")
+    models = train(marked.select("text", "target"), max_words, max_grams)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    scored = marked.mapInArrow(_score(shared), "doc_id long, n_tokens long, loss_target double, loss_background double")
     return scored.withColumn("score", F.col("loss_target") - F.col("loss_background"))

@@ -37,7 +37,9 @@ def topic_of(words: Column, text: Column) -> Column:
     a tenth of its characters are digits, else ``general``; without words it is ``empty``."""
     by_word = F.create_map(*[F.lit(x) for topic, listed in TOPICS.items() for w in listed for x in (w, topic)])
     known = [w for listed in TOPICS.values() for w in listed]
-    found = F.transform(F.filter(words, lambda w: w.isin(known)), lambda w: by_word[w])
+    none = F.array().cast("array<string>")
+    some = F.arrays_overlap(words, F.array(*[F.lit(w) for w in known]))
+    found = F.when(some, F.transform(F.filter(words, lambda w: w.isin(known)), lambda w: by_word[w])).otherwise(none)
     ranked = F.transform(
         F.array_distinct(found), lambda t: F.struct((-F.size(F.filter(found, lambda x: x == t))).alias("n"), t.alias("topic"))
     )
