@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import ascii_lower, bounded_broadcast, discard, materialize, space_words, text_or_empty
+from marginalia.llm.common import bounded_broadcast, discard, materialize, space_words, text_or_empty
 
 MARGINS = ("source", "lang", "topic")
 #: Up to so many cells are raked as arrays of one row; more are raked as tables.
 ARRAY_CELLS = 50_000
-#: Words that name a topic, lower case.
+#: Words that name a topic; each also counts capitalised and in capitals.
 TOPICS = {
     "code": ("class", "const", "def", "function", "import", "int", "return", "static", "string", "var", "void"),
     "credentials": ("apikey", "bearer", "key", "login", "password", "secret", "token"),
@@ -31,12 +31,18 @@ TOPICS = {
 TABLE_MARKS, CODE_MARKS = "|", "#*$%&<>{}=;"
 
 
+def topic_words() -> dict[str, str]:
+    """Topic by word, in the three spellings that count."""
+    return {form: topic for topic, listed in TOPICS.items() for w in listed for form in (w, w.capitalize(), w.upper())}
+
+
 def topic_of(words: Column, text: Column) -> Column:
     """The topic whose words occur most often, the first by name among equals. A text
     without any is ``table`` or ``symbols`` by the marks it is made of, ``figures`` where
     a tenth of its characters are digits, else ``general``; without words it is ``empty``."""
-    by_word = F.create_map(*[F.lit(x) for topic, listed in TOPICS.items() for w in listed for x in (w, topic)])
-    known = [w for listed in TOPICS.values() for w in listed]
+    listed = topic_words()
+    by_word = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])
+    known = list(listed)
     none = F.array().cast("array<string>")
     some = F.arrays_overlap(words, F.array(*[F.lit(w) for w in known]))
     found = F.when(some, F.transform(F.filter(words, lambda w: w.isin(known)), lambda w: by_word[w])).otherwise(none)
@@ -44,13 +50,13 @@ def topic_of(words: Column, text: Column) -> Column:
         F.array_distinct(found), lambda t: F.struct((-F.size(F.filter(found, lambda x: x == t))).alias("n"), t.alias("topic"))
     )
     n = F.char_length(text)
-    share = lambda marks: n - F.char_length(F.translate(text, marks, ""))
+    share = lambda marks: n - F.char_length(F.regexp_replace(text, f"[{marks}]+", ""))
     return (
         F.when(F.size(words) == 0, "empty")
         .when(F.size(found) > 0, F.array_min(ranked)["topic"])
         .when(share(TABLE_MARKS) * 50 > n, "table")
         .when(share(CODE_MARKS) * 20 > n, "symbols")
-        .when(share("0123456789") * 10 > n, "figures")
+        .when(share("0-9") * 10 > n, "figures")
         .otherwise("general")
     )
 
@@ -211,7 +217,7 @@ def mixing(
     doc_id are kept or left together where they share a cell.
     """
     text = text_or_empty()
-    words = docs.select("doc_id", "source", "lang", text.alias("text"), space_words(ascii_lower(text)).alias("words"))
+    words = docs.select("doc_id", "source", "lang", text.alias("text"), space_words(text).alias("words"))
     rows = materialize(
         words.select(
             "doc_id", "source", "lang", topic_of(F.col("words"), F.col("text")).alias("topic"), F.size("words").cast("long").alias("n_tokens")

@@ -95,14 +95,14 @@ FROM m LEFT JOIN wide ON m.lang IS NOT DISTINCT FROM wide.lang AND m.source IS N
 
 
 def _mixing(share: float, power: float, iterations: int, rounds: int) -> str:
-    from marginalia.llm.mixing import TOPICS
+    from marginalia.llm.mixing import TOPICS, topic_words
 
-    hits = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in listed)}))) AS n_{t}" for t, listed in TOPICS.items())
+    hits = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x, of in topic_words().items() if of == t)}))) AS n_{t}" for t in TOPICS)
     most = f"greatest({', '.join(f'n_{t}' for t in TOPICS)})"
     named = " ".join(f"WHEN {most} > 0 AND n_{t} = {most} THEN '{t}'" for t in sorted(TOPICS))
     without = lambda marks: f"length(text) - length(regexp_replace(text, '[{marks}]+', '', 'g'))"
     parts = [rf"""
-word AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 hit AS (SELECT *, {hits} FROM word),
 docs AS MATERIALIZED (
   SELECT doc_id, source, lang, len(w) AS n_tokens,
@@ -145,4 +145,4 @@ FROM docs d LEFT JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS
 """
 
 
-OP9 = _mixing(0.5, 0.5, 25, 12)
+OP9 = _mixing(0.5, 0.5, 100, 12)

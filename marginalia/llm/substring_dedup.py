@@ -84,7 +84,7 @@ def _seeds(span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_h"))
             for lo, hi, data, offsets in slices(batch, "text"):
                 end = anchors(data, offsets, gear, span)
                 if not len(end):
@@ -94,9 +94,9 @@ def _seeds(span: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.frombuffer(digest, "<i8")), pa.array(ids[lo:hi][doc].astype(np.int64)),
-                        pa.array((end - offsets[doc]).astype(np.int32)),
+                        pa.array(hashes[lo:hi][doc]), pa.array((end - offsets[doc]).astype(np.int32)),
                     ],
-                    names=["d", "doc_id", "at"],
+                    names=["d", "doc_id", "text_h", "at"],
                 )
 
     return run
@@ -104,13 +104,13 @@ def _seeds(span: int):
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_h"), text_or_empty().cast("binary").alias("text")
     )
 
 
 def seeds(docs: DataFrame, span: int) -> DataFrame:
-    """(d, doc_id, at): a 64-bit digest of the 32 bytes before every cut, and the cut."""
-    return _texts(docs).mapInArrow(_seeds(span), "d long, doc_id long, at int")
+    """(d, doc_id, text_h, at): a 64-bit digest of the 32 bytes before every cut, and the cut."""
+    return _texts(docs).mapInArrow(_seeds(span), "d long, doc_id long, text_h long, at int")
 
 
 def _windows(span: int):
@@ -123,7 +123,7 @@ def _windows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                doc, text, cuts = batch["doc_id"][row].as_py(), batch["text"][row].as_py(), batch["cuts"][row].as_py()
+                doc, text_h, text, cuts = (batch[c][row].as_py() for c in ("doc_id", "text_h", "text", "cuts"))
                 for lo in range(0, len(cuts), 4096):
                     found = []
                     for e in cuts[lo : lo + 4096]:
@@ -138,10 +138,10 @@ def _windows(span: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(parts["a"]), pa.array(parts["b"]), pa.array(side, pa.int32()),
-                            pa.array(np.full(len(found), doc, np.int64)), pa.array(start, pa.int32()),
+                            pa.array(np.full(len(found), doc, np.int64)), pa.array(np.full(len(found), text_h, np.int64)), pa.array(start, pa.int32()),
                             pa.array(pre, pa.binary()), pa.array(post, pa.binary()),
                         ],
-                        names=["k1", "k2", "side", "doc_id", "s", "pre", "post"],
+                        names=["k1", "k2", "side", "doc_id", "text_h", "s", "pre", "post"],
                     )
 
     return run
@@ -169,17 +169,17 @@ def _extended(width: int):
             s = batch.column("s").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(s - np.array(left, np.int32)),
+                    batch.column("doc_id"), batch.column("text_h"), pa.array(s - np.array(left, np.int32)),
                     pa.array(s + np.array(right, np.int32) + np.int32(width)), batch.column("f_doc"), batch.column("moved"),
                 ],
-                names=["doc_id", "lo", "hi", "f_doc", "moved"],
+                names=["doc_id", "text_h", "lo", "hi", "f_doc", "moved"],
             )
 
     return run
 
 
 def equal_pieces(docs: DataFrame, span: int) -> DataFrame:
-    """(doc_id, lo, hi, f_doc, moved): pieces of texts that occur at another place too.
+    """(doc_id, text_h, lo, hi, f_doc, moved): pieces of texts that occur at another place too.
 
     Their union holds every span of at least ``span`` bytes that occurs twice. In sorted
     order the neighbours of a place share the longest bytes with it. ``f_doc`` is the
@@ -187,22 +187,22 @@ def equal_pieces(docs: DataFrame, span: int) -> DataFrame:
     """
     # Equal digests only propose: windows are compared by 96 bits. Read once, so not written.
     again = F.count(F.lit(1)).over(Window.partitionBy("d"))
-    cuts = seeds(docs, span).withColumn("n", again).where("n > 1").groupBy("doc_id").agg(F.collect_set("at").alias("cuts"))
-    windows = _texts(docs).join(cuts, "doc_id").select("doc_id", "text", "cuts").mapInArrow(
-        _windows(span), "k1 long, k2 int, side int, doc_id long, s int, pre binary, post binary"
+    cuts = seeds(docs, span).withColumn("n", again).where("n > 1").groupBy("doc_id", "text_h").agg(F.collect_set("at").alias("cuts"))
+    windows = _texts(docs).join(cuts, ["doc_id", "text_h"]).select("doc_id", "text_h", "text", "cuts").mapInArrow(
+        _windows(span), "k1 long, k2 int, side int, doc_id long, text_h long, s int, pre binary, post binary"
     )
     key = ["k1", "k2", "side"]
-    once = windows.repartition(*key).dropDuplicates([*key, "doc_id", "s"])
+    once = windows.repartition(*key).dropDuplicates([*key, "doc_id", "text_h", "s"])
     whole = Window.partitionBy(*key)
     near = {"pre": whole.orderBy("pre"), "post": whole.orderBy("post")}
-    met = once.withColumn("first", F.min(F.struct("doc_id", "s")).over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
+    met = once.withColumn("first", F.min(F.struct("doc_id", "text_h", "s")).over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
     met = met.where("n > 1").select(
-        "doc_id", "s", "pre", "post", F.col("first.doc_id").alias("f_doc"),
-        ((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.s") != F.col("s"))).alias("moved"),
+        "doc_id", "text_h", "s", "pre", "post", F.col("first.doc_id").alias("f_doc"),
+        (F.col("first") != F.struct("doc_id", "text_h", "s")).alias("moved"),
         *[f(c).over(w).alias(f"{c}_{i}") for c, w in near.items() for i, f in ((1, F.lag), (2, F.lead))],
     )
     width = REACH + (span - REACH) // 2
-    return met.mapInArrow(_extended(width), "doc_id long, lo int, hi int, f_doc long, moved boolean")
+    return met.mapInArrow(_extended(width), "doc_id long, text_h long, lo int, hi int, f_doc long, moved boolean")
 
 
 def short_copies(docs: DataFrame, span: int) -> DataFrame:
@@ -210,12 +210,12 @@ def short_copies(docs: DataFrame, span: int) -> DataFrame:
     short = _texts(docs).where(F.octet_length("text").between(1, span - 1)).distinct()
     first = short.groupBy("text").agg(F.min("doc_id").alias("f_doc"), F.max("doc_id").alias("l_doc")).where("f_doc <> l_doc")
     return short.join(first, "text").select(
-        "doc_id", F.lit(0).alias("lo"), F.octet_length("text").alias("hi"), "f_doc", (F.col("f_doc") != F.col("doc_id")).alias("moved")
+        "doc_id", "text_h", F.lit(0).alias("lo"), F.octet_length("text").alias("hi"), "f_doc", (F.col("f_doc") != F.col("doc_id")).alias("moved")
     )
 
 
 def repeated_spans(docs: DataFrame, min_span: int = 128) -> DataFrame:
-    """(doc_id, start, end, n_removed, first_docs): maximal repeated spans, in bytes.
+    """(doc_id, text_h, start, end, n_removed, first_docs): maximal repeated spans, in bytes.
 
     Pieces that occur at another place are joined where they meet; all but the place
     with the least (doc_id, offset) are removed: ``n_removed`` bytes of the span.
@@ -224,14 +224,14 @@ def repeated_spans(docs: DataFrame, min_span: int = 128) -> DataFrame:
     """
     found = equal_pieces(docs, min_span).withColumn("least", F.lit(min_span))
     pieces = materialize(found.unionByName(short_copies(docs, min_span).withColumn("least", F.lit(1))), "pieces")
-    ordered = Window.partitionBy("doc_id").orderBy("lo", "hi", "f_doc", "moved")
+    ordered = Window.partitionBy("doc_id", "text_h").orderBy("lo", "hi", "f_doc", "moved")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     past, gone = F.max("hi").over(before), F.max(F.when(F.col("moved"), F.col("hi"))).over(before)
     fresh = F.coalesce(past < F.col("lo"), F.lit(True)).cast("int")
     more = F.greatest(F.col("hi") - F.greatest("lo", F.coalesce(gone, F.col("lo"))), F.lit(0))
     numbered = pieces.withColumns({"fresh": fresh, "more": F.when(F.col("moved"), more).otherwise(0)})
     return (
-        numbered.withColumn("span", F.sum("fresh").over(ordered)).groupBy("doc_id", "span")
+        numbered.withColumn("span", F.sum("fresh").over(ordered)).groupBy("doc_id", "text_h", "span")
         .agg(
             F.min("lo").alias("start"), F.max("hi").alias("end"), F.sum("more").alias("n_removed"),
             F.sort_array(F.collect_set("f_doc")).alias("first_docs"), F.min("least").alias("least"),
@@ -245,14 +245,14 @@ def dedup_substrings(docs: DataFrame, min_span: int = 128) -> DataFrame:
     """One row per document with a repeated span: doc_id, n_spans, n_repeat_bytes,
     n_removed_bytes, first_docs.
 
-    Documents without one are not listed, nor are null and empty texts.
-    Repeated rows of a doc_id are one document: they do not repeat each other. Rows with a
-    null doc_id take no part.
+    Documents without one are not listed, nor are null and empty texts. Fully repeated
+    rows are one document: they do not repeat each other. Rows that share a doc_id but not
+    a text are documents of their own, with a row each. Rows with a null doc_id take no part.
     """
     spans = repeated_spans(docs, min_span)
-    return spans.groupBy("doc_id").agg(
+    return spans.groupBy("doc_id", "text_h").agg(
         F.count(F.lit(1)).alias("n_spans"),
         F.sum(F.col("end") - F.col("start")).cast("long").alias("n_repeat_bytes"),
         F.sum("n_removed").cast("long").alias("n_removed_bytes"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("first_docs")))).alias("first_docs"),
-    )
+    ).drop("text_h")

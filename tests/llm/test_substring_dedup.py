@@ -36,3 +36,35 @@ def test_limits_of_the_minimum_and_short_copies(spark):
     out = {r.doc_id: r for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(out) == want | {300, 301}
     assert (out[300].n_removed_bytes, out[301].n_removed_bytes, out[301].first_docs) == (0, 10, [300])
+
+
+def brute(texts, span):
+    """Bytes of each text that a string of ``span`` bytes covers which starts elsewhere too."""
+    seen = {}
+    for d, raw in enumerate(texts):
+        for i in range(len(raw) - span + 1):
+            seen.setdefault(raw[i : i + span], []).append((d, i))
+    out = [set() for _ in texts]
+    for places in seen.values():
+        if len(places) > 1:
+            for d, i in places:
+                out[d].update(range(i, i + span))
+    return out
+
+
+def test_spans_match_brute_force_where_rows_share_an_id(spark, sf_tiny):
+    rng = random.Random(13)
+    shared, other = words(rng, 40), words(rng, 40)
+    rows = [(1, f"{words(rng, 20)} {shared} {words(rng, 9)}"), (1, f"{other} {words(rng, 30)}"), (2, f"{words(rng, 30)} {other}"), (3, shared)]
+    rows += [(3, words(rng, 8000)), (4, None), (5, "")]
+    rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_tiny}/documents.parquet").select("doc_id", "text").limit(80).collect()]
+    got = {}
+    texts = [(t or "").encode() for _, t in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = [r.h for r in frame.selectExpr("xxhash64(coalesce(text, '')) AS h").collect()]
+    for r in repeated_spans(frame).collect():
+        got.setdefault((r.doc_id, r.text_h), set()).update(range(r.start, r.end))
+    # Every span of 128 bytes is found; what is joined to it repeats over 80 bytes at least.
+    for (d, _), h, raw, want, most in zip(rows, hashes, texts, brute(texts, 128), brute(texts, 80), strict=True):
+        if len(raw) >= 128:
+            assert want <= got.get((d, h), set()) <= most, d
