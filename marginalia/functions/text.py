@@ -83,6 +83,24 @@ def occurrences(text: Column, part: Column) -> Column:
     ).otherwise(0)
 
 
+def placed(text: Column, regex: Column) -> Column:
+    """Array of (start, end, found) of all matches: gaps between them come from a split."""
+    found = F.regexp_extract_all(text, regex, F.lit(0))
+    gaps = F.transform(F.split(text, regex, F.lit(-1)), lambda g: F.char_length(g))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + p["g"]
+        end = start + F.char_length(p["m"])
+        return F.struct(
+            end.alias("at"),
+            F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("found")))).alias("out"),
+        )
+
+    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+
+
 def escape_cell(text: Column) -> Column:
     """A text as one cell of a Markdown table."""
     # Replacements in their order.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import normalize_term
-from marginalia.functions.tokens import lock_tokens
+from marginalia.functions.tokens import kept_values
 
 
 def ordered_distinct(array: Column) -> Column:
@@ -88,7 +88,7 @@ def item_codes(pairs: DataFrame) -> DataFrame:
     (source, target structs), used.
     """
     targets = F.filter("terms", lambda x: (x["target"] != "") & ~F.contains(normalize_term(F.col("translated_text")), normalize_term(x["target"])))
-    kept = F.transform(lock_tokens(F.col("translated_text")), lambda x: x["value"])
+    kept = kept_values(F.col("locked"), F.col("translated_text"))
     wanted = F.transform("terms", lambda x: x["source"])
     codes = F.array(
         F.when(F.col("mode") != F.col("r_mode"), "mode_mismatch"),

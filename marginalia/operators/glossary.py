@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import normalize_term
+from marginalia.functions.text import normalize_term, placed
 
 #: Most terms that matching broadcasts; a larger glossary is joined by first word.
 BROADCAST_TERMS = 50_000
@@ -82,24 +82,6 @@ def pattern(norm: Column) -> Column:
     return F.concat(F.lit(r"(?U)(?<!\w)"), F.replace(joined, F.lit(" "), F.lit(r"\s+")), F.lit(r"(?!\w)"))
 
 
-def _placed(text: Column, regex: Column) -> Column:
-    """Array of (start, end, found) of all matches: gaps between them come from a split."""
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.transform(F.split(text, regex, F.lit(-1)), lambda g: F.char_length(g))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["g"]
-        end = start + F.char_length(p["m"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("found")))).alias("out"),
-        )
-
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-
-
 def hits(texts: DataFrame, compiled: DataFrame, key: str = "text_id") -> DataFrame:
     """(key, start, end, matched_text, source_term, target_term, priority, do_not_translate).
 
@@ -122,7 +104,7 @@ def hits(texts: DataFrame, compiled: DataFrame, key: str = "text_id") -> DataFra
         F.lower("source_term").alias("folded"), F.col("target_term"), F.col("m.end").alias("end"), F.col("m.found").alias("matched_text"),
         F.col("source_term"), F.col("priority"), F.col("do_not_translate"),
     )
-    found = pairs.select("norm_text", F.explode(_placed(F.col("norm_text"), F.col("regex"))).alias("m"), "source_term", "target_term", "priority", "do_not_translate")
+    found = pairs.select("norm_text", F.explode(placed(F.col("norm_text"), F.col("regex"))).alias("m"), "source_term", "target_term", "priority", "do_not_translate")
     ranked = found.groupBy("norm_text").agg(F.array_sort(F.collect_set(order)).alias("all"))
     none = F.slice("all", 1, 0)
     greedy = F.aggregate(

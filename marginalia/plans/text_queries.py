@@ -125,19 +125,69 @@ def _f4_generic(t):
     return view(t, SPEC).select("text_id", F.array_join(tokens.extract_kind(F.col("text"), "generic_code"), "~").alias("found"))
 
 
-@query("f4_lock_tokens")
+#: What a specification is locked to: (kind, value), and the words between, in text order.
+_SPEC_LOCKS = """
+SELECT p_partkey AS text_id, text, [
+  ['style_code', concat('SK', p_partkey)], ['number', p_size::VARCHAR], ['unit', 'cm'], ['color_code', concat('19-', lpad((p_partkey % 10000)::VARCHAR, 4, '0'), ' TCX')],
+  ['percentage', concat(p_size % 100, '%')], ['tolerance', '±0.5'], ['date', concat(2000 + p_size, '-', 1 + p_size % 12, '-', 1 + p_size % 28)],
+  ['material_code', concat('AB-', p_size, 'X')], ['pom_code', concat('POM CODE: P', p_size)]] AS locks
+FROM part JOIN spec ON p_partkey = text_id"""
+
+
+@query(
+    "f4_lock_tokens",
+    f"""
+WITH RECURSIVE spec AS ({SPEC}), l AS ({_SPEC_LOCKS}),
+walk AS (
+  SELECT text_id, text, locks, 0 AS n, 0 AS till, '' AS tokens FROM l
+  UNION ALL
+  SELECT text_id, text, locks, n + 1, till + instr(substr(text, till + 1), locks[n + 1][2]) - 1 + length(locks[n + 1][2]),
+         concat(tokens, CASE WHEN n > 0 THEN '|' ELSE '' END, locks[n + 1][1], ':', till + instr(substr(text, till + 1), locks[n + 1][2]) - 1, ':',
+                till + instr(substr(text, till + 1), locks[n + 1][2]) - 1 + length(locks[n + 1][2]), ':', locks[n + 1][2])
+  FROM walk WHERE n < len(locks))
+SELECT text_id, tokens FROM walk WHERE n = len(locks)""",
+)
 def _f4_lock(t):
-    locked = view(t, SPEC).withColumn("tokens", tokens.lock_tokens(F.col("text")))
+    found = view(t, SPEC).withColumn("tokens", tokens.lock_tokens(F.col("text")))
     show = F.transform("tokens", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"], x["value"]))
-    return locked.select("text_id", F.array_join(show, "|").alias("tokens"))
+    return found.select("text_id", F.array_join(show, "|").alias("tokens"))
+
 
+#: Specifications with translated labels; some lose a value, change one or swap two.
+_TRANSLATED = "replace(replace(replace(text, 'Style No:', '款号'), 'Material:', '面料'), 'due', '交期')"
+_TRANSLATED = f"CASE text_id % 5 WHEN 1 THEN replace({_TRANSLATED}, ' cm', '') WHEN 2 THEN replace({_TRANSLATED}, '±0.5', '±0.6') WHEN 3 THEN replace({_TRANSLATED}, '款号 SK', 'cm 款号 SK') ELSE {_TRANSLATED} END"
 
-@query("f6_validate_tokens", "SELECT p_partkey AS text_id, p_partkey % 2 = 1 AS kept FROM part")
+
+@query(
+    "f6_validate_tokens",
+    f"""
+WITH RECURSIVE spec AS ({SPEC}), l AS ({_SPEC_LOCKS}), tr AS (SELECT text_id, locks, {_TRANSLATED} AS t FROM l),
+walk AS (
+  SELECT text_id, locks, t, 0 AS n, true AS fits FROM tr
+  UNION ALL
+  SELECT text_id, locks, substr(t, instr(t, locks[n + 1][2]) + length(locks[n + 1][2])), n + 1,
+         fits AND instr(t, locks[n + 1][2]) > 0 AND NOT regexp_matches(left(t, instr(t, locks[n + 1][2]) - 1), '\\bcm\\b')
+  FROM walk WHERE n < len(locks))
+SELECT text_id, fits AS kept FROM walk WHERE n = len(locks)""",
+)
 def _f6(t):
-    spec = view(t, SPEC)
-    other = F.when(F.col("text_id") % 2 == 0, F.replace(F.col("text"), F.lit("cm"), F.lit("mm"))).otherwise(F.col("text"))
-    same = tokens.same_tokens(tokens.lock_tokens(F.col("text")), tokens.lock_tokens(other))
-    return spec.select("text_id", same.alias("kept"))
+    rows = view(t, SPEC).withColumn("translated", F.expr(_TRANSLATED))
+    return rows.select("text_id", tokens.same_tokens(tokens.lock_tokens(F.col("text")), F.col("translated")).alias("kept"))
+
+
+@query(
+    "k2_merged_occurrences",
+    "SELECT p_partkey AS text_id, concat('AB ', p_size, ':0|', p_size, ':', 4 + length(p_size::VARCHAR), '|cm:', 5 + 2 * length(p_size::VARCHAR)) AS merged FROM part",
+)
+def _k2(t):
+    """A value of the source wins over the shorter tokens found inside it."""
+    size = F.col("p_size").cast("string")
+    rows = t("part").select(F.col("p_partkey").alias("text_id"), F.concat(F.lit("AB "), size).alias("value"), size.alias("size")).withColumn(
+        "text", F.concat(F.col("value"), F.lit(" "), F.col("size"), F.lit(" cm"))
+    )
+    found = tokens.source_occurrences(F.array("value"), F.col("text"))
+    merged = tokens.merged_occurrences(found, tokens.lock_tokens(F.col("text")))
+    return rows.select("text_id", F.array_join(F.transform(merged, lambda x: F.concat_ws(":", x["value"], x["start"])), "|").alias("merged"))
 
 
 _COMPILED_SQL = f"""
@@ -444,6 +494,6 @@ def _k1(t):
     unit = _compiled(t)
     rows = t("part").select(F.col("p_partkey").alias("text_id"), text.normalize_term(F.col("p_name")).alias("s"))
     pairs = rows.join(F.broadcast(unit.withColumn("regex", glossary.pattern(F.col("norm")))), F.regexp_like("s", F.col("regex")))
-    placed = pairs.select("text_id", F.explode(glossary._placed(F.col("s"), F.col("regex"))).alias("m"), "source_term", "target_term", "priority", "do_not_translate")
+    placed = pairs.select("text_id", F.explode(text.placed(F.col("s"), F.col("regex"))).alias("m"), "source_term", "target_term", "priority", "do_not_translate")
     order = F.struct(F.col("m.start"), F.col("m.start") - F.col("m.end"), ~F.col("do_not_translate"), -F.col("priority"), F.lower("source_term"), F.col("target_term"), F.col("m.found").alias("w"))
     return placed.groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["w"]), ",").alias("ranked"))

@@ -56,14 +56,42 @@ def test_text_functions(spark):
     assert tuple(r) == ("strasse-a b", "strasse-a b", 0.75, True, 1.0)
 
 
-def test_tokens():
-    found = tokens.tokens_of("Style No: SK12 12.5 cm 30% ±0.5 é12 19-4005 TCX 2024-01-05 xSTYLE AB1")
-    assert [(k, v) for v, _, _, k in found] == [
-        ("style_code", "SK12"), ("number", "12.5"), ("unit", "cm"), ("percentage", "30%"), ("tolerance", "±0.5"),
-        ("color_code", "19-4005 TCX"), ("date", "2024-01-05"), ("generic_code", "AB1"),
+def locked(spark, *texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens.lock_tokens(F.col("t")).alias("l")).collect()
+    return [[(x.kind, x.value) for x in r.l] for r in rows]
+
+
+def test_tokens(spark):
+    assert locked(spark, "Style No: SK12 12.5 cm 30% ±0.5 é12 19-4005 TCX 2024-01-05 xSTYLE AB1", None) == [
+        [
+            ("style_code", "SK12"), ("number", "12.5"), ("unit", "cm"), ("percentage", "30%"), ("tolerance", "±0.5"),
+            ("color_code", "19-4005 TCX"), ("date", "2024-01-05"), ("generic_code", "AB1"),
+        ],
+        [],
+    ]
+
+
+def test_token_boundaries(spark):
+    # é and a letter with a mark go on; an escaped underscore does not; a mark after a token spoils it.
+    assert locked(spark, "e\u030112", "a\\_12", "a_12", "12\u0301 7", "STYLE AB1é 5", "DESIGNER: John Smith 3") == [
+        [], [("number", "12")], [], [("number", "7")], [("number", "5")], [("person", "John Smith"), ("number", "3")],
     ]
 
 
+def test_translations_keep_tokens_by_value(spark):
+    cases = [
+        ("DESIGNER: John Smith, 5 cm", "设计师: John Smith, 5 cm", True),
+        ("DESIGNER: John Smith", "设计师: John Smyth", False),
+        ("Style No: SK12 5 cm", "款号 SK12 cm 5", False),
+        ("5 cm", "5 cm 6", False),
+        ("Material: AB-9X 9", "面料 AB-9X 9", True),
+        ("no tokens", "nichts", True),
+    ]
+    rows = spark.createDataFrame(cases, "s string, t string, want boolean")
+    got = rows.select("s", tokens.same_tokens(tokens.lock_tokens(F.col("s")), F.col("t")).alias("got"), "want").collect()
+    assert [r for r in got if r.got != r.want] == []
+
+
 def test_union_area(spark):
     rows = [(1, 0.0, 0.0, 10.0, 10.0), (1, 5.0, 5.0, 15.0, 15.0), (1, 0.0, 0.0, 10.0, 10.0), (2, 0.0, 0.0, 1.0, 1.0), (2, 3.0, 0.0, 4.0, 2.0), (3, 1.0, 1.0, 1.0, 5.0)]
     out = spatial.union_area(spark.createDataFrame(rows, "page int, x0 double, y0 double, x1 double, y1 double"), "page").collect()
