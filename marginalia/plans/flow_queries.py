@@ -514,9 +514,9 @@ def _src3(t):
     return t("supplier").select("s_suppkey", state.job_id(F.sha2("s_name", 256), at).alias("job_id"))
 
 
-@query("snk6_bounded_read", "SELECT doc_id FROM documents WHERE strlen(text) <= 2000")
+@query("snk6_bounded_read", f"SELECT doc_id FROM documents WHERE strlen(text) <= {files.ARTIFACT_BYTES}")
 def _snk6(t):
-    return files.bounded(t("documents").select("doc_id", F.octet_length("text").alias("length")), 2000).select("doc_id")
+    return files.bounded(t("documents").select("doc_id", F.octet_length("text").alias("length"))).select("doc_id")
 
 
 _S = f"s AS ({STATE})"

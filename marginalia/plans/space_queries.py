@@ -29,12 +29,7 @@ _OVER = "a.x0 < b.x1{c} AND b.x0{m} < a.x1 AND a.y0 < b.y1{c} AND b.y0{m} < a.y1
 _O0, _O2 = _OVER.format(c="", m=""), _OVER.format(c=" + 2", m=" - 2")
 
 
-def _few(t):
-    """Every rectangle, on four times as many pages: pairs stay near the number of rows."""
-    return rects(t).withColumn("page", F.col("page") * 1000 + F.col("id") % 40)
-
-
-_FEW = f"r AS (SELECT page * 1000 + id % 40 AS page, id, x0, y0, x1, y1, kind FROM ({RECT}))"
+_ON_PAGE = f"r AS MATERIALIZED (SELECT page, id, x0, y0, x1, y1, kind FROM ({RECT}))"
 
 
 @query("a1_bounding_box", f"SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ({RECT}) GROUP BY page")
@@ -45,65 +40,65 @@ def _a1(t):
 @query(
     "a2_union_area",
     f"""
-WITH {_FEW}, e AS (SELECT DISTINCT page, x FROM (SELECT page, x0 AS x FROM r UNION ALL SELECT page, x1 FROM r)),
+WITH {_ON_PAGE}, e AS (SELECT DISTINCT page, x FROM (SELECT page, x0 AS x FROM r UNION ALL SELECT page, x1 FROM r)),
 s AS (SELECT page, x, lead(x) OVER (PARTITION BY page ORDER BY x) AS nx FROM e),
 i AS (SELECT s.page, s.x, nx - x AS dx, y0, y1, max(y1) OVER (PARTITION BY s.page, s.x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
       FROM s JOIN r ON r.page = s.page AND r.x0 <= s.x AND r.x1 >= s.nx)
 SELECT page, sum(dx * greatest(0, y1 - greatest(y0, coalesce(pm, y0)))) AS area FROM i GROUP BY page""",
 )
 def _a2(t):
-    return spatial.union_area(_few(t), "page")
+    return spatial.union_area(rects(t), "page")
 
 
-@query("j14_rect_overlap", f"WITH {_FEW} " + _pair_sql(_O0))
+@query("j14_rect_overlap", f"WITH {_ON_PAGE} " + _pair_sql(_O0))
 def _j14(t):
-    r = _few(t)
+    r = rects(t)
     return spatial.overlap_pairs(r, r).select("page", "a_id", "b_id")
 
 
-@query("j15_earlier_placements", f"WITH {_FEW} " + _pair_sql(f"b.id < a.id AND {_O0}"))
+@query("j15_earlier_placements", f"WITH {_ON_PAGE} " + _pair_sql(f"b.id < a.id AND {_O0}"))
 def _j15(t):
-    return spatial.earlier_overlaps(_few(t)).select("page", "a_id", "b_id")
+    return spatial.earlier_overlaps(rects(t)).select("page", "a_id", "b_id")
 
 
-@query("j16_annotation_collisions", f"WITH {_FEW}, p AS (SELECT a.page, a.id AS i, b.id AS o, CASE WHEN {_O0} THEN 'overlap' ELSE 'clearance' END AS kind FROM r a JOIN r b ON a.page = b.page AND b.id < a.id AND {_O2}) SELECT page, i AS item_id, o AS object_id, kind FROM p UNION ALL SELECT page, o, i, kind FROM p")
+@query("j16_annotation_collisions", f"WITH {_ON_PAGE}, p AS (SELECT a.page, a.id AS i, b.id AS o, CASE WHEN {_O0} THEN 'overlap' ELSE 'clearance' END AS kind FROM r a JOIN r b ON a.page = b.page AND b.id < a.id AND {_O2}) SELECT page, i AS item_id, o AS object_id, kind FROM p UNION ALL SELECT page, o, i, kind FROM p")
 def _j16(t):
-    return spatial.annotation_collisions(_few(t), 2.0)
+    return spatial.annotation_collisions(rects(t), 2.0)
 
 
 _CELLS = "SELECT page, id, id // 5 AS table_id, id % 5 AS row, x0, y0, x1, y1, CASE WHEN kind % 3 = 0 THEN ' ' ELSE 'x' END AS text FROM r"
 
 
-@query("j17_same_row_cells", f"WITH {_FEW}, c AS ({_CELLS}), h AS (SELECT DISTINCT a.page, a.id, b.table_id, b.row FROM r a JOIN c b ON a.page = b.page AND {_O0} WHERE a.kind = 1) SELECT h.page, h.id, c.id AS cell_id FROM h JOIN c USING (page, table_id, row) WHERE trim(c.text) = ''")
+@query("j17_same_row_cells", f"WITH {_ON_PAGE}, c AS ({_CELLS}), h AS (SELECT DISTINCT a.page, a.id, b.table_id, b.row FROM r a JOIN c b ON a.page = b.page AND {_O0} WHERE a.kind = 1) SELECT h.page, h.id, c.id AS cell_id FROM h JOIN c USING (page, table_id, row) WHERE trim(c.text) = ''")
 def _j17(t):
-    r = _few(t)
+    r = rects(t)
     cells = r.select("page", "id", F.floor(F.col("id") / 5).alias("table_id"), (F.col("id") % 5).alias("row"), *SIDES, F.when(F.col("kind") % 3 == 0, " ").otherwise("x").alias("text"))
     return spatial.same_row_cells(r.where("kind = 1"), cells)
 
 
-@query("j18_smallest_region", f"WITH {_FEW}, p AS (SELECT page, id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM r), j AS (SELECT p.page, p.id, r.id AS region_id, row_number() OVER (PARTITION BY p.page, p.id ORDER BY (r.x1 - r.x0) * (r.y1 - r.y0), r.id) AS n FROM p JOIN r ON p.page = r.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) SELECT page, id, region_id FROM j WHERE n = 1")
+@query("j18_smallest_region", f"WITH {_ON_PAGE}, p AS (SELECT page, id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM r), j AS (SELECT p.page, p.id, r.id AS region_id, row_number() OVER (PARTITION BY p.page, p.id ORDER BY (r.x1 - r.x0) * (r.y1 - r.y0), r.id) AS n FROM p JOIN r ON p.page = r.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) SELECT page, id, region_id FROM j WHERE n = 1")
 def _j18(t):
-    r = _few(t)
+    r = rects(t)
     points = r.select("page", "id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     return spatial.smallest_region(points, r)
 
 
-@query("k12_region_by_area", f"WITH {_FEW} SELECT page, arg_min(id, [(x1 - x0) * (y1 - y0), id]) AS region_id FROM r WHERE x0 <= 250 AND x1 >= 250 GROUP BY page")
+@query("k12_region_by_area", f"WITH {_ON_PAGE} SELECT page, arg_min(id, [(x1 - x0) * (y1 - y0), id]) AS region_id FROM r WHERE x0 <= 250 AND x1 >= 250 GROUP BY page")
 def _k12(t):
-    held = _few(t).where("x0 <= 250 AND x1 >= 250")
+    held = rects(t).where("x0 <= 250 AND x1 >= 250")
     return held.groupBy("page").agg(F.min(F.struct(Box.of().area.alias("a"), "id")).getField("id").alias("region_id"))
 
 
-@query("j19_duplicate_annotations", f"WITH {_FEW}, a AS (SELECT * FROM r WHERE kind <= 2), b AS (SELECT * FROM r WHERE kind > 2) SELECT page, id FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.page = b.page AND a.kind % 2 = b.kind % 2 AND b.kind <> 5 AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) >= 0.5 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)))")
+@query("j19_duplicate_annotations", f"WITH {_ON_PAGE}, a AS (SELECT * FROM r WHERE kind <= 2), b AS (SELECT * FROM r WHERE kind > 2) SELECT page, id FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.page = b.page AND a.kind % 2 = b.kind % 2 AND b.kind <> 5 AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) >= 0.5 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)))")
 def _j19(t):
-    r = _few(t).withColumns({"should_translate": F.col("kind") != 5})
+    r = rects(t).withColumns({"should_translate": F.col("kind") != 5})
     named = lambda d, s: d.withColumn("text", F.concat(F.lit(s), (F.col("kind") % 2).cast("string")))
     return spatial.duplicate_annotations(named(r.where("kind <= 2"), "T"), named(r.where("kind > 2"), "t")).select("page", "id")
 
 
-@query("a15_collision_count", f"WITH {_FEW} SELECT a.page, a.id, count(b.id) AS n FROM r a LEFT JOIN r b ON a.page = b.page AND b.kind = 1 AND {_O2} WHERE a.kind > 1 GROUP BY a.page, a.id")
+@query("a15_collision_count", f"WITH {_ON_PAGE} SELECT a.page, a.id, count(b.id) AS n FROM r a LEFT JOIN r b ON a.page = b.page AND b.kind = 1 AND {_O2} WHERE a.kind > 1 GROUP BY a.page, a.id")
 def _a15(t):
-    r = _few(t)
+    r = rects(t)
     return spatial.collision_counts(r.where("kind > 1"), r.where("kind = 1"), 2.0)
 
 
@@ -374,9 +369,9 @@ def _v5(t):
     return coverage.page_errors(pages)
 
 
-@query("c4_supplements", f"WITH {_FEW}, e AS (SELECT page, max(id) AS last FROM r WHERE kind > 2 GROUP BY page), a AS (SELECT page, id FROM r WHERE kind <= 2) SELECT a.page, id, printf('p%03d-i%03d', a.page + 1, coalesce(last, 0) + row_number() OVER (PARTITION BY a.page ORDER BY id)) AS item_id FROM a LEFT JOIN e USING (page)")
+@query("c4_supplements", f"WITH {_ON_PAGE}, e AS (SELECT page, max(id) AS last FROM r WHERE kind > 2 GROUP BY page), a AS (SELECT page, id FROM r WHERE kind <= 2) SELECT a.page, id, printf('p%03d-i%03d', a.page + 1, coalesce(last, 0) + row_number() OVER (PARTITION BY a.page ORDER BY id)) AS item_id FROM a LEFT JOIN e USING (page)")
 def _c4(t):
-    r = _few(t).withColumn("should_translate", F.lit(True))
+    r = rects(t).withColumn("should_translate", F.lit(True))
     existing = r.where("kind > 2").withColumns({"text": F.lit("old"), "item_id": F.format_string("p%03d-i%03d", F.col("page") + 1, "id")})
     added = r.where("kind <= 2").withColumn("text", F.lit("new")).select("page", "id", "text", *SIDES)
     return coverage.supplements(added, existing).select("page", "id", "item_id")

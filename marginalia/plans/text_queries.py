@@ -303,9 +303,9 @@ def _p1(t):
     return classify.classify_pages(pages).select("page_id", "page_type", F.col("confidence").cast("double").alias("confidence"), "stage")
 
 
-@query("p2_title_phrase", r"SELECT doc_id, regexp_matches(lower(text), '\b(?:the|der)\b') AS found FROM documents WHERE lang = 'en'")
+@query("p2_title_phrase", r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\pL\pM\pN_])(the|der)($|[^\pL\pM\pN_])') AS found FROM documents")
 def _p2(t):
-    return t("documents").where("lang = 'en'").select("doc_id", classify.has_phrase(F.lower("text"), "the", "der").alias("found"))
+    return t("documents").select("doc_id", classify.has_phrase(F.lower("text"), "the", "der").alias("found"))
 
 
 _GROUPS = "SELECT n_regionkey, array_agg(DISTINCT lower(substr(n_name, 1, 1))) AS g FROM nation GROUP BY n_regionkey"

@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new folder below ``spark.checkpoint.dir``. Only a local session that leaves it
+    unset gets a folder of its own; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        root = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/marginalia-{name}-{uuid.uuid4().hex}"
 
 
