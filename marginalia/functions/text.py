@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Typographic dashes, slashes and quotes and what they read as.
 PUNCTUATION = {
@@ -24,26 +20,21 @@ def collapse(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def normalize_term(text: Column) -> Column:
-    """Comparison form inside the JVM: punctuation unified, blanks collapsed, lower case.
-
-    Equal to :func:`normalize_term_exact` where compatibility forms do not occur and sharp
-    s is the only letter whose case folding differs from its lower case.
-    """
-    return F.replace(F.lower(collapse(F.translate(text, _FROM, _TO))), F.lit("ß"), F.lit("ss"))
+def _unfolded(text: Column) -> Column:
+    return collapse(F.translate(text, _FROM, _TO))
 
 
-@F.pandas_udf(T.StringType())
-def normalize_term_exact(text: pd.Series) -> pd.Series:
-    """Comparison form with compatibility composition and full case folding."""
-    table = str.maketrans(PUNCTUATION)
-
-    def one(value):
-        if value is None:
-            return None
-        return " ".join(unicodedata.normalize("NFKC", value).translate(table).split()).casefold()
+def normalize_term(text: Column) -> Column:
+    """Comparison form: compatibility composition, punctuation unified, blanks collapsed,
+    case folded in full.
 
-    return text.map(one)
+    Inside the JVM: other texts than ASCII go through the Unicode library that Spark
+    brings for its collations; for ASCII lower case is the same.
+    """
+    other = F.coalesce(F.octet_length(text) != F.char_length(text), F.lit(False))
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.when(other, text).otherwise(""), F.lit(True))
+    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), _unfolded(composed), F.lit(True))
+    return F.when(other, folded).otherwise(F.lower(collapse(text)))
 
 
 def source_key(text: Column) -> Column:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import normalize_term, placed
 
-#: Most terms that matching broadcasts; a larger glossary is joined by first word.
+#: Up to so many terms the join with their probes is a broadcast.
 BROADCAST_TERMS = 50_000
+#: Letters of the first word of a term by which texts look for it.
+PROBE = 6
 
 # Accepted spellings of booleans.
 TRUE, FALSE = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
@@ -82,6 +84,23 @@ def pattern(norm: Column) -> Column:
     return F.concat(F.lit(r"(?U)(?<!\w)"), F.replace(joined, F.lit(" "), F.lit(r"\s+")), F.lit(r"(?!\w)"))
 
 
+def term_probe(norm: Column) -> Column:
+    """The first letters of a term's first word, or its first character where it has no word.
+
+    Whatever stands before that word in a match, no word character does: so a word of the
+    text begins with these letters, also where connectors of the term are left out.
+    """
+    word = F.regexp_extract(norm, r"(?U)\w+", 0)
+    return F.when(word != "", F.left(word, F.lit(PROBE))).otherwise(F.left(norm, F.lit(1)))
+
+
+def text_probes(norm_text: Column) -> Column:
+    """All probes that may find a term in a text: the beginnings of its words and its marks."""
+    words = F.array_distinct(F.regexp_extract_all(norm_text, F.lit(r"(?U)\w+"), F.lit(0)))
+    begun = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.least(F.char_length(w), F.lit(PROBE))), lambda n: F.left(w, n))))
+    return F.array_distinct(F.concat(begun, F.regexp_extract_all(norm_text, F.lit(r"(?U)[^\w\s]"), F.lit(0))))
+
+
 def hits(texts: DataFrame, compiled: DataFrame, key: str = "text_id") -> DataFrame:
     """(key, start, end, matched_text, source_term, target_term, priority, do_not_translate).
 
@@ -89,15 +108,11 @@ def hits(texts: DataFrame, compiled: DataFrame, key: str = "text_id") -> DataFra
     first, then longest, then do-not-translate, then by priority, source and target
     term; what overlaps a taken match is left. Distinct texts are matched once.
     """
-    lexicon = compiled.withColumn("regex", pattern(F.col("norm"))).withColumn(
-        "probe", F.split(F.regexp_replace("norm", r"[-/]", " "), " ")[0]
-    )
-    unique = texts.select("norm_text").distinct()
+    lexicon = compiled.withColumn("regex", pattern(F.col("norm"))).withColumn("probe", term_probe(F.col("norm")))
     if compiled.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        pairs = unique.join(F.broadcast(lexicon), F.col("norm_text").contains(F.col("probe")))
-    else:
-        words = unique.select("norm_text", F.explode(F.array_distinct(F.split("norm_text", r"(?U)\W+"))).alias("probe"))
-        pairs = words.join(lexicon, "probe")
+        lexicon = F.broadcast(lexicon)
+    unique = texts.select("norm_text").distinct()
+    pairs = unique.select("norm_text", F.explode(text_probes(F.col("norm_text"))).alias("probe")).join(lexicon, "probe")
     order = F.struct(
         F.col("m.start").alias("start"), (F.col("m.start") - F.col("m.end")).alias("length"),
         (~F.col("do_not_translate")).alias("translated"), (-F.col("priority")).alias("rank"),
@@ -122,8 +137,9 @@ def required_target(used: DataFrame, compiled: DataFrame) -> DataFrame:
     table = compiled.groupBy("norm").agg(F.min("target_term").alias("t"))
     by_term = table.select(F.col("norm").alias("n1"), F.col("t").alias("t1"))
     by_match = table.select(F.col("norm").alias("n2"), F.col("t").alias("t2"))
+    normal = used.withColumns({"_term": normalize_term(F.col("source_term")), "_match": normalize_term(F.col("matched_text"))})
     return (
-        used.join(by_term, normalize_term(F.col("source_term")) == F.col("n1"), "left")
-        .join(by_match, normalize_term(F.col("matched_text")) == F.col("n2"), "left")
+        normal.join(by_term, F.col("_term") == F.col("n1"), "left")
+        .join(by_match, F.col("_match") == F.col("n2"), "left")
         .select("text_id", "matched_text", F.coalesce("t1", "t2", "target_term").alias("target"))
     )

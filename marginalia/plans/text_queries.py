@@ -26,9 +26,11 @@ def _f1(t):
     return view(t, LINE_SPARK).select("page_id", "pos", text.normalize_term(F.col("text")).alias("norm"))
 
 
-@query("f1_normalize_term_exact", f"SELECT page_id, pos, {norm_sql('text')} AS norm FROM ({LINE_DUCK})")
+@query("f1_normalize_term_exact", f"SELECT page_id, pos, CASE pos % 4 WHEN 0 THEN concat({norm_sql('text')}, ' fit ab-1') WHEN 1 THEN concat({norm_sql('text')}, ' strasse 2/3') ELSE {norm_sql('text')} END AS norm FROM ({LINE_DUCK})")
 def _f1x(t):
-    return view(t, LINE_SPARK).select("page_id", "pos", text.normalize_term_exact(F.col("text")).alias("norm"))
+    """Ligatures, full-width letters and blanks, fractions and sharp s."""
+    more = F.when(F.col("pos") % 4 == 0, "\u3000ﬁt\u3000ＡＢ–１").when(F.col("pos") % 4 == 1, " STRAẞE ⅔").otherwise("")
+    return view(t, LINE_SPARK).select("page_id", "pos", text.normalize_term(F.concat("text", more)).alias("norm"))
 
 
 @query(

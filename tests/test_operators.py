@@ -2,7 +2,7 @@
 
 import pytest
 from marginalia.functions import text, tokens
-from marginalia.operators import classify, matching, memory, selection, spatial, tables
+from marginalia.operators import classify, glossary, matching, memory, selection, spatial, tables
 from marginalia.sources import files
 from marginalia.streaming import jobs
 from pyspark.sql import functions as F
@@ -50,10 +50,10 @@ def test_match_nodes(spark):
 def test_text_functions(spark):
     rows = spark.createDataFrame([("  Straße–A  B ", "abcd", "axcd", "a|b\n<br>& \r")], "t string, a string, b string, c string")
     r = rows.select(
-        text.normalize_term(F.col("t")), text.normalize_term_exact(F.col("t")), text.similarity(F.col("a"), F.col("b")),
+        text.normalize_term(F.col("t")), text.normalize_term(F.concat(F.lit("ﬁ Ａ "), F.col("t"))), text.similarity(F.col("a"), F.col("b")),
         text.unescape_cell(text.escape_cell(F.col("c"))) == F.col("c"), text.similarity(F.lit(""), F.lit("")),
     ).first()
-    assert tuple(r) == ("strasse-a b", "strasse-a b", 0.75, True, 1.0)
+    assert tuple(r) == ("strasse-a b", "fi a strasse-a b", 0.75, True, 1.0)
 
 
 def locked(spark, *texts):
@@ -159,3 +159,23 @@ def test_learning_stream_adds_once(spark, tmp_path):
         jobs.learn_stream(spark.readStream.schema(schema).parquet(inbox), store, f"file://{tmp_path}/mark").awaitTermination()
     out = spark.read.option("recursiveFileLookup", "true").parquet(store).collect()
     assert sorted((r.source_text, r.corrected) for r in out) == [("x", "one"), ("y", "v0"), ("y", "v1")]
+
+
+def test_glossary_of_any_size_finds_the_same(spark):
+    parts = [("small-widget", "w"), ("c++", "c"), ("a/b test", "t"), ("±", "pm"), ("+size", "s"), ("(x) y", "xy"), ("straße", "st")]
+    filler = [(f"filler{i:05d} term", "f") for i in range(50_001)]
+    texts = ["a smallwidget here", "uses c++ code", "ab test and a - b test", "tol ± 5", "the +size and size", "(x) y", "eine strasse", "filler00042 term", "none"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "text_id int, norm_text string")
+
+    def found(listed):
+        terms = spark.createDataFrame(listed, "source_term string, target_term string").withColumns(
+            {"norm": text.normalize_term(F.col("source_term")), "priority": F.lit(0), "do_not_translate": F.lit(False)}
+        )
+        return sorted((r.text_id, r.start, r.end, r.matched_text) for r in glossary.hits(rows, terms).collect())
+
+    want = [
+        (0, 2, 13, "smallwidget"), (1, 5, 8, "c++"), (2, 0, 7, "ab test"), (2, 12, 22, "a - b test"), (3, 4, 5, "±"), (4, 4, 9, "+size"),
+        (5, 0, 5, "(x) y"), (6, 5, 12, "strasse"),
+    ]
+    assert found(parts) == want
+    assert found(parts + filler) == sorted([*want, (7, 0, 16, "filler00042 term")])
