@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import Box
 
+# Font sizes, the radius that counts as near, page margin, clearance between
+# rectangles and gap to the source, in points.
 FONTS = (7.0, 6.0, 5.0)
 NEAR = 96.0
-MARGIN = 2.0
-CLEARANCE = 2.0
+MARGIN = 5.0
+CLEARANCE = 1.0
 GAP = 4.0
 
 
@@ -64,6 +66,47 @@ def candidates(items: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def _text_height(text: Column, width: Column, font: Column) -> Column:
+    """Height that a text takes in a rectangle of this width."""
+    return F.greatest(font * 1.35 * wrapped_lines(text, F.greatest(width - 4, F.lit(1.0)), font) + 3, font + 4)
+
+
+def cell_candidates(items: DataFrame, pages: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows as of :func:`candidates` for the free cells (page, item_id, sides) beside each
+    source, in every font in which the text fits. They count before all others."""
+    own = cells.select("page", "item_id", *[F.col(s).alias(f"c_{s}") for s in ("x0", "y0", "x1", "y1")])
+    box, source, page = Box.of("c_"), Box.of(), Box.of("p_")
+    order = Window.partitionBy("page", "item_id").orderBy("c_x0", "c_y0", "c_x1", "c_y1")
+    numbered = items.join(own, ["page", "item_id"]).join(pages, "page").withColumn("nth", F.row_number().over(order))
+    fonts = numbered.select("*", F.posexplode(F.array(*[F.lit(f) for f in FONTS])).alias("fi", "font"))
+    safe = Box(page.x0 + MARGIN, page.y0 + MARGIN, page.x1 - MARGIN, page.y1 - MARGIN)
+    fits = _text_height(F.col("text"), box.width, F.col("font")) <= box.height + 1e-6
+    return fonts.where(safe.contains(box) & fits).select(
+        "page", "item_id", (F.col("fi") * 100_000 + F.col("nth") - 1_000_000).alias("candidate"), "font", F.lit("same_row_cell").alias("strategy"),
+        *[c.alias(k) for k, c in box.columns().items()], box.centre_distance(source).alias("movement"), box.gap(source).alias("source_distance"),
+    )
+
+
+def edge_fallback(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row as of :func:`candidates` per item: a rectangle at the right edge of its page,
+    level with the source, or all of the safe page where the text does not fit there."""
+    page, source = Box.of("p_"), Box.of()
+    margin = F.least(F.lit(MARGIN), page.width / 4, page.height / 4)
+    safe = Box(page.x0 + margin, page.y0 + margin, page.x1 - margin, page.y1 - margin)
+    width = F.least(F.greatest(safe.width * 0.24, F.lit(72.0)), safe.width)
+    wanted = _text_height(F.col("text"), width, F.lit(FONTS[-1]))
+    height = F.least(wanted, safe.height)
+    top = F.least(F.greatest(source.y0, safe.y0), safe.y1 - height)
+    fits = wanted <= height + 1e-6
+    edge = Box(F.when(fits, safe.x1 - width).otherwise(safe.x0), F.when(fits, top).otherwise(safe.y0), safe.x1, F.when(fits, top + height).otherwise(safe.y1))
+    sides = items.join(pages, "page").where(safe.valid()).select("*", *[c.alias(f"f_{k}") for k, c in edge.columns().items()])
+    box = Box.of("f_")
+    return sides.select(
+        "page", "item_id", F.lit(0).alias("candidate"), F.lit(FONTS[-1]).alias("font"), F.lit("page_edge_fallback").alias("strategy"),
+        *[c.alias(k) for k, c in box.columns().items()], box.centre_distance(source).alias("movement"), box.gap(source).alias("source_distance"),
+    )
+
+
 def near_first(rows: DataFrame, limit: float = NEAR) -> DataFrame:
     """Candidates within the limit where an item has any, else all of them."""
     near = F.col("movement") <= limit
@@ -135,16 +178,28 @@ def place(rows: DataFrame) -> DataFrame:
     return rows.groupBy("page").applyInPandas(_choose, rows.schema)
 
 
-def plan_page_layout(items: DataFrame, pages: DataFrame, obstacles: DataFrame) -> DataFrame:
-    """Placements of all items with strategy, collisions and risk.
+def plan_page_layout(items: DataFrame, pages: DataFrame, obstacles: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Placements of all items with strategy, collisions, status and risk.
 
-    Items without an in-page candidate are ``candidate_exhausted`` and have no rectangle.
+    ``cells`` are the free cells beside each source (see ``spatial.free_cells``). An item
+    without any candidate goes to the edge of its page and to manual review; one whose
+    source is empty or leaves its page is ``candidate_exhausted`` and has no rectangle.
     """
     from marginalia.operators.spatial import collision_counts
 
-    pool = near_first(candidates(items, pages)).withColumn("id", F.concat_ws("|", "item_id", "candidate"))
+    source, page = Box.of(), Box.of("p_")
+    sound = items.join(pages, "page").where(source.valid() & page.contains(source)).select(*items.columns)
+    pool = candidates(sound, pages)
+    if cells is not None:
+        pool = pool.unionByName(cell_candidates(sound, pages, cells))
+    pool = near_first(pool)
+    left = sound.join(pool.select("page", "item_id").distinct(), ["page", "item_id"], "left_anti")
+    pool = pool.unionByName(edge_fallback(left, pages)).withColumn("id", F.concat_ws("|", "item_id", "candidate"))
     n = collision_counts(pool, obstacles, CLEARANCE).withColumnRenamed("n", "collisions")
     placed = place(pool.join(n, ["page", "id"]).drop("id"))
     every = items.select("page", "item_id").join(placed, ["page", "item_id"], "left")
-    status = F.when(F.col("strategy").isNull(), "candidate_exhausted").when(F.col("collisions") > 0, "manual_placement_required").otherwise("placed")
+    status = (
+        F.when(F.col("strategy").isNull(), "candidate_exhausted").when(F.col("strategy") == "page_edge_fallback", "manual_review_fallback")
+        .when(F.col("collisions") > 0, "manual_placement_required").otherwise("placed")
+    )
     return every.withColumn("status", status).withColumn("risk", F.when(F.col("status") == "placed", "low").otherwise("high"))

@@ -26,7 +26,7 @@ def _pair_sql(where: str) -> str:
 
 
 _OVER = "a.x0 < b.x1{c} AND b.x0{m} < a.x1 AND a.y0 < b.y1{c} AND b.y0{m} < a.y1"
-_O0, _O2 = _OVER.format(c="", m=""), _OVER.format(c=" + 2", m=" - 2")
+_O0, _O1 = _OVER.format(c="", m=""), _OVER.format(c=" + 1", m=" - 1")
 
 
 _ON_PAGE = f"r AS MATERIALIZED (SELECT page, id, x0, y0, x1, y1, kind FROM ({RECT}))"
@@ -61,9 +61,9 @@ def _j15(t):
     return spatial.earlier_overlaps(rects(t)).select("page", "a_id", "b_id")
 
 
-@query("j16_annotation_collisions", f"WITH {_ON_PAGE}, p AS (SELECT a.page, a.id AS i, b.id AS o, CASE WHEN {_O0} THEN 'overlap' ELSE 'clearance' END AS kind FROM r a JOIN r b ON a.page = b.page AND b.id < a.id AND {_O2}) SELECT page, i AS item_id, o AS object_id, kind FROM p UNION ALL SELECT page, o, i, kind FROM p")
+@query("j16_annotation_collisions", f"WITH {_ON_PAGE}, p AS (SELECT a.page, a.id AS i, b.id AS o, CASE WHEN {_O0} THEN 'overlap' ELSE 'clearance' END AS kind FROM r a JOIN r b ON a.page = b.page AND b.id < a.id AND {_O1}) SELECT page, i AS item_id, o AS object_id, kind FROM p UNION ALL SELECT page, o, i, kind FROM p")
 def _j16(t):
-    return spatial.annotation_collisions(rects(t), 2.0)
+    return spatial.annotation_collisions(rects(t), layout.CLEARANCE)
 
 
 _CELLS = "SELECT page, id, id // 5 AS table_id, id % 5 AS row, x0, y0, x1, y1, CASE WHEN kind % 3 = 0 THEN ' ' ELSE 'x' END AS text FROM r"
@@ -96,10 +96,10 @@ def _j19(t):
     return spatial.duplicate_annotations(named(r.where("kind <= 2"), "T"), named(r.where("kind > 2"), "t")).select("page", "id")
 
 
-@query("a15_collision_count", f"WITH {_ON_PAGE} SELECT a.page, a.id, count(b.id) AS n FROM r a LEFT JOIN r b ON a.page = b.page AND b.kind = 1 AND {_O2} WHERE a.kind > 1 GROUP BY a.page, a.id")
+@query("a15_collision_count", f"WITH {_ON_PAGE} SELECT a.page, a.id, count(b.id) AS n FROM r a LEFT JOIN r b ON a.page = b.page AND b.kind = 1 AND {_O1} WHERE a.kind > 1 GROUP BY a.page, a.id")
 def _a15(t):
     r = rects(t)
-    return spatial.collision_counts(r.where("kind > 1"), r.where("kind = 1"), 2.0)
+    return spatial.collision_counts(r.where("kind > 1"), r.where("kind = 1"), layout.CLEARANCE)
 
 
 _COLL = f"SELECT page % 10 AS page, id % 50 AS item_id, CASE WHEN kind > 3 THEN 'overlap' ELSE 'clearance' END AS kind, kind AS object_id, CAST(NULL AS INTEGER) AS dpi, x0 * 1000 + y0 + page / 1000.0 + id / 1000000.0 AS ord, x1 FROM ({RECT})"
@@ -301,13 +301,13 @@ def _pages(t):
 
 _CAND = f"""
 WITH i AS (SELECT page, printf('i%05d', id) AS item_id, 'text of ' || id AS text, x0, y0, x1, y1 FROM ({RECT}) WHERE kind = 1),
-f AS (SELECT *, least(greatest((x1 - x0) * 1.35, 72), 700 * 0.28, 696) AS bw FROM i),
-g AS (SELECT *, fi, [7.0, 6.0, 5.0][fi + 1]::DOUBLE AS font, wi, CASE wi WHEN 0 THEN bw ELSE greatest(least(bw * 0.75, 696), 48) END AS w FROM f, range(3) a(fi), range(2) b(wi)),
+f AS (SELECT *, least(greatest((x1 - x0) * 1.35, 72), 700 * 0.28, 690) AS bw FROM i),
+g AS (SELECT *, fi, [7.0, 6.0, 5.0][fi + 1]::DOUBLE AS font, wi, CASE wi WHEN 0 THEN bw ELSE greatest(least(bw * 0.75, 690), 48) END AS w FROM f, range(3) a(fi), range(2) b(wi)),
 h AS (SELECT *, greatest(font * 1.35 * greatest(ceil(length(text) / greatest(floor(greatest(w - 4, 1) / (font * 0.55)), 1)), 1) + 3, font + 4) AS h FROM g),
 r AS (SELECT *, ring * greatest(w * 0.35, 18) AS dx, ring * greatest(h * 0.8, 10) AS dy FROM h, range(3) c(ring)),
 o AS (SELECT *, CASE si WHEN 0 THEN x1 + 4 + dx WHEN 2 THEN x0 - 4 - dx - w ELSE x0 END AS a0, CASE si WHEN 1 THEN y1 + 4 + dy WHEN 3 THEN y0 - 4 - dy - h ELSE y0 END AS b0 FROM r, range(4) d(si)),
 c AS (SELECT page, item_id, (((fi * 2 + wi) * 3 + ring) * 4 + si)::INTEGER AS candidate, font, a0, b0, a0 + w AS a1, b0 + h AS b1, x0, y0, x1, y1,
-       sqrt(((a0 + a0 + w) / 2 - (x0 + x1) / 2) ** 2 + ((b0 + b0 + h) / 2 - (y0 + y1) / 2) ** 2) AS movement FROM o WHERE a0 >= 2 AND b0 >= 2 AND a0 + w <= 698 AND b0 + h <= 798)
+       sqrt(((a0 + a0 + w) / 2 - (x0 + x1) / 2) ** 2 + ((b0 + b0 + h) / 2 - (y0 + y1) / 2) ** 2) AS movement FROM o WHERE a0 >= 5 AND b0 >= 5 AND a0 + w <= 695 AND b0 + h <= 795)
 """
 
 
@@ -335,10 +335,51 @@ def _k7(t):
     return c.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("page", "item_id", "candidate", "place")
 
 
+def _table_cells(t):
+    """Rectangles of kind 2 and more as cells, five to a table row; every third kind is blank."""
+    header = F.when(F.col("id") % 4 == 0, " Fit Notes").otherwise("Size")
+    text = F.when(F.col("kind") % 3 == 0, " ").otherwise("x")
+    return rects(t).where("kind > 1").select("page", "id", F.floor(F.col("id") / 5).alias("table_id"), F.lit(0).alias("row"), header.alias("header"), text.alias("text"), *SIDES)
+
+
+def _table_words(t):
+    return rects(t).where("kind % 3 <> 0").select("page", "id", "x0", "y0", (F.col("x0") + 12).alias("x1"), "y1")
+
+
+_FREE = f"""
+WITH {_ON_PAGE}, c AS (SELECT *, id // 5 AS tb, CASE WHEN id % 4 = 0 THEN 0 ELSE 2 END AS choice FROM r WHERE kind > 1),
+w AS (SELECT page, x0, y0, x0 + 12 AS x1, y1 FROM r WHERE kind % 3 <> 0),
+h AS (SELECT a.page, a.id, b.tb, b.id AS cell, b.x0, b.y0, b.x1, b.y1 FROM r a JOIN c b ON a.page = b.page AND {_O0} WHERE a.kind = 1),
+b AS (SELECT DISTINCT h.page, h.id, h.tb, choice, c.x0 + 2 AS x0, c.y0 + 2 AS y0, c.x1 - 2 AS x1, c.y1 - 2 AS y1 FROM h JOIN c USING (page, tb)
+      WHERE c.kind % 3 = 0 AND c.x1 - c.x0 >= 28 AND c.y1 - c.y0 >= 13.5),
+u AS (SELECT a.page, a.id AS cell, max(b.x1) AS till FROM c a JOIN w b ON a.page = b.page AND {_O0} GROUP BY a.page, a.id),
+e AS (SELECT page, id, tb, 1 AS choice, till + 1.5 AS x0, y0 + 1.5 AS y0, x1 - 1.5 AS x1, y1 - 1.5 AS y1 FROM h JOIN u USING (page, cell) WHERE x1 - till >= 27 AND y1 - y0 >= 12.5)
+SELECT DISTINCT page, id, x0, y0, x1, y1 FROM (SELECT *, min(choice) OVER (PARTITION BY page, id, tb) AS best FROM (SELECT * FROM b UNION ALL SELECT * FROM e)) WHERE choice = best"""
+
+
+@query("g18_free_cells", _FREE)
+def _g18_free(t):
+    return spatial.free_cells(rects(t).where("kind = 1").select("page", "id", *SIDES), _table_cells(t), _table_words(t))
+
+
+@query("j16_leader_collisions", f"WITH {_ON_PAGE} SELECT DISTINCT a.page, a.id AS item_id, b.id AS object_id FROM r a JOIN r b ON a.page = b.page AND a.id <> b.id WHERE a.kind = 1 AND a.y0 BETWEEN b.y0 - 1 AND b.y1 + 1 AND a.x1 <= b.x1 + 1 AND a.x1 + 90 >= b.x0 - 1")
+def _j16_leader(t):
+    """Lines of two segments from the upper right corner of each rectangle of kind 1."""
+    point = lambda x: F.struct(x.alias("x"), F.col("y0").alias("y"))
+    points = F.array(point(F.col("x1")), point(F.col("x1") + 40), point(F.col("x1") + 90))
+    return spatial.leader_collisions(rects(t).where("kind = 1").select("page", "id", points.alias("points")), rects(t).select("page", "id", *SIDES), layout.CLEARANCE)
+
+
+@query("g20_page_edge", f"WITH i AS (SELECT page, printf('i%05d', id) AS item_id, length(concat('text of ', id)) AS n, y0 FROM ({RECT}) WHERE kind = 1), h AS (SELECT *, 5 * 1.35 * greatest(ceil(n / floor((690 * 0.24 - 4) / 2.75)), 1) + 3 AS h FROM i) SELECT page, item_id, 695 - 690 * 0.24::DOUBLE AS x0, least(greatest(y0, 5), 795 - greatest(h, 9)) AS y0, 695.0::DOUBLE AS x1, round(least(greatest(y0, 5), 795 - greatest(h, 9)) + greatest(h, 9), 9) AS y1 FROM h")
+def _g20_edge(t):
+    return layout.edge_fallback(_items(t), _pages(t)).select("page", "item_id", "x0", "y0", "x1", F.round("y1", 9).alias("y1"))
+
+
 @query("c6_page_layout")
 def _c6(t):
     obstacles = rects(t).where("kind > 1").select("page", "id", *SIDES)
-    out = layout.plan_page_layout(_items(t), _pages(t), obstacles)
+    free = _g18_free(t).withColumn("item_id", F.format_string("i%05d", "id")).drop("id")
+    out = layout.plan_page_layout(_items(t), _pages(t), obstacles, staged(free, "cells"))
     return out.select("page", "item_id", "candidate", "strategy", "collisions", "status", "risk")
 
 
@@ -397,8 +438,15 @@ def _c3(t):
 
 @query("c5_trusted_output")
 def _c5(t):
-    """Selected candidates with translation, warnings and risk after placement."""
+    """Selected candidates with translation, and warnings and risk after placement."""
     chosen = staged(_c3(t), "analysis").where("should_translate").withColumn("text", F.col("item_id"))
     pairs = exchange.trusted_items(chosen, chosen.select("item_id", F.lower("item_id").alias("translated_text")))
-    warned = pairs.withColumn("w", review.warnings(F.lit(False), F.col("coordinate_confidence"), F.lit("m"), F.lit(True)))
-    return warned.select("item_id", "translated_text", F.array_join("w", ",").alias("warnings"), review.risk_level(F.col("w"), F.col("auto_approvable")).alias("risk"))
+    nodes = selection.item_ids(_nodes(t).withColumnsRenamed({"page": "page_id", "idx": "pos"}))
+    items = nodes.join(chosen.select("item_id"), "item_id", "left_semi").select(F.col("page_id").alias("page"), "item_id", "text", *SIDES)
+    pages = items.select("page").distinct().select("page", *[F.lit(v).alias(f"p_{s}") for s, v in zip(SIDES, (0.0, 0.0, 700.0, 800.0), strict=True)])
+    obstacles = _spans(t).select("page", F.col("idx").alias("id"), *SIDES)
+    placed = staged(layout.plan_page_layout(items, pages, obstacles), "layout").select("item_id", "status")
+    warned = pairs.join(placed, "item_id").withColumn(
+        "w", review.warnings(F.lit(False), F.col("coordinate_confidence"), F.lit("m"), F.col("status") == "placed")
+    )
+    return warned.select("item_id", "translated_text", "status", F.array_join("w", ",").alias("warnings"), review.risk_level(F.col("w"), F.col("auto_approvable")).alias("risk"))

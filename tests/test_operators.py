@@ -2,7 +2,7 @@
 
 import pytest
 from marginalia.functions import text, tokens
-from marginalia.operators import classify, glossary, matching, memory, selection, spatial, tables
+from marginalia.operators import classify, glossary, layout, matching, memory, selection, spatial, tables
 from marginalia.sources import files
 from marginalia.streaming import jobs
 from pyspark.sql import functions as F
@@ -179,3 +179,29 @@ def test_glossary_of_any_size_finds_the_same(spark):
     ]
     assert found(parts) == want
     assert found(parts + filler) == sorted([*want, (7, 0, 16, "filler00042 term")])
+
+
+def test_layout_of_dense_table_and_exhausted_pages(spark):
+    item = "page int, item_id string, text string, x0 double, y0 double, x1 double, y1 double"
+    dense = [(1, f"i{k:02d}", "short text", 200.0, 100.0, 240.0, 112.0) for k in range(30)]
+    odd = [(2, "i0", "in a table", 20.0, 20.0, 60.0, 32.0), (3, "i0", "word " * 400, 5.0, 5.0, 25.0, 15.0), (4, "i0", "outside", 90.0, 90.0, 140.0, 99.0)]
+    items = spark.createDataFrame(dense + odd, item)
+    pages = spark.createDataFrame([(1, 0.0, 0.0, 500.0, 300.0), (2, 0.0, 0.0, 500.0, 300.0), (3, 0.0, 0.0, 30.0, 30.0), (4, 0.0, 0.0, 100.0, 100.0)], "page int, p_x0 double, p_y0 double, p_x1 double, p_y1 double")
+    none = spark.createDataFrame([], "page int, id string, x0 double, y0 double, x1 double, y1 double")
+    cells = spark.createDataFrame(
+        [(2, 1, 0, 0, "Size", "in a table", 15.0, 15.0, 100.0, 40.0), (2, 2, 0, 0, "Remarks", "", 100.0, 15.0, 150.0, 40.0), (2, 3, 0, 0, "Fit", " ", 150.0, 15.0, 250.0, 40.0)],
+        "page int, id int, table_id int, row int, header string, text string, x0 double, y0 double, x1 double, y1 double",
+    )
+    source = items.where("page = 2").select("page", F.lit(9).alias("id"), "x0", "y0", "x1", "y1")
+    words = source.select("page", "id", "x0", "y0", "x1", "y1")
+    free = spatial.free_cells(source, cells, words)
+    assert [tuple(r) for r in free.collect()] == [(2, 9, 102.0, 17.0, 148.0, 38.0)]
+    rest = spatial.free_cells(source, cells.where("id = 1"), words)
+    assert [tuple(r) for r in rest.collect()] == [(2, 9, 61.5, 16.5, 98.5, 38.5)]
+    out = {(r.page, r.item_id): r for r in layout.plan_page_layout(items, pages, none, free.withColumn("item_id", F.lit("i0")).drop("id")).collect()}
+    assert len(out) == 33
+    assert out[2, "i0"].strategy == "same_row_cell" and out[2, "i0"].status == "placed"
+    assert out[3, "i0"].status == "manual_review_fallback" and out[3, "i0"].risk == "high"
+    assert out[4, "i0"].status == "candidate_exhausted" and out[4, "i0"].x0 is None
+    first = [r for (p, _), r in out.items() if p == 1 and r.status == "placed"]
+    assert len(first) >= 4 and all(r.movement <= layout.NEAR for r in first)
