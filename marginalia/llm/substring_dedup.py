@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, text_or_empty
-from marginalia.llm.vectors import slices
+from marginalia.llm.common import discard, materialize, text_or_empty
+from marginalia.llm.suffix_dedup import BASES, Ranges
+from marginalia.llm.vectors import mix, slices
 
 #: Bytes that a cut depends on; also the least chunk.
 REACH = 32
@@ -74,11 +76,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, gear: np.ndarray, span: int)
     return np.unique((full >> 1) - (low[at >= span - 1] & (full >> 1))) + 1
 
 
-def _digests(pieces) -> np.ndarray:
-    raw = b"".join(hashlib.blake2b(x, digest_size=12).digest() for x in pieces)
-    return np.frombuffer(raw, np.dtype([("a", "<i8"), ("b", "<i4")]))
-
-
 def _seeds(span: int):
     gear = gear_table()
 
@@ -113,35 +110,63 @@ def seeds(docs: DataFrame, span: int) -> DataFrame:
     return _texts(docs).mapInArrow(_seeds(span), "d long, doc_id long, text_h long, at int")
 
 
+_KEY = ["k1", "k2"]
+_WINDOW = "k1 long, k2 int, c long, doc_id long, text_h long, s int, before int, after int"
+
+
 def _windows(span: int):
     """Two places that share ``span`` bytes around a seed share half of the rest of them
     on its left or on its right: those windows are compared, with as much on either side,
-    which reaches the next cut or the end of what is shared."""
-    rest = span - REACH
-    half = rest // 2
+    which reaches the next cut or the end of what is shared. ``k1`` and ``k2`` digest a
+    window, ``c`` the window with the ``before`` and ``after`` bytes beside it."""
+    half = (span - REACH) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc, text_h, text, cuts = (batch[c][row].as_py() for c in ("doc_id", "text_h", "text", "cuts"))
-                for lo in range(0, len(cuts), 4096):
-                    found = []
-                    for e in cuts[lo : lo + 4096]:
-                        for side, s, t in ((0, e - REACH - half, e), (1, e - REACH, e + half)):
-                            if s >= 0 and t <= len(text):
-                                pre = text[max(0, s - half) : s][::-1]
-                                found.append((side, s, text[s:t], pre, text[t : t + half]))
-                    if not found:
-                        continue
-                    side, start, inner, pre, post = zip(*found, strict=True)
-                    parts = _digests(inner)
+            for lo, hi, data, offsets in slices(batch, "text"):
+                cuts = batch.column("cuts").slice(lo, hi - lo)
+                doc = np.repeat(np.arange(hi - lo), pc.list_value_length(cuts).to_numpy())
+                end = offsets[doc] + cuts.flatten().to_numpy()
+                one, two = (Ranges(data, b) for b in BASES)
+                for side, start in ((0, end - REACH - half), (1, end - REACH)):
+                    inside = (start >= offsets[doc]) & (start + REACH + half <= offsets[doc + 1])
+                    of, s = doc[inside], start[inside]
+                    t = s + REACH + half
+                    before, after = np.minimum(s - offsets[of], half), np.minimum(offsets[of + 1] - t, half)
+                    sides = np.uint64(side)
+                    with np.errstate(over="ignore"):
+                        k1, k2 = mix(one.of(s, t) + sides), two.of(s, t) >> np.uint64(32)
+                        beside = (before * 4096 + after).astype(np.uint64) * np.uint64(2) + sides
+                        c = mix(two.of(s - before, t + after) ^ mix(beside))
+                    rows = pa.array(of)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(parts["a"]), pa.array(parts["b"]), pa.array(side, pa.int32()),
-                            pa.array(np.full(len(found), doc, np.int64)), pa.array(np.full(len(found), text_h, np.int64)), pa.array(start, pa.int32()),
-                            pa.array(pre, pa.binary()), pa.array(post, pa.binary()),
+                            pa.array(k1.view(np.int64)), pa.array(k2.astype(np.uint32).view(np.int32)), pa.array(c.view(np.int64)),
+                            *[batch.column(x).slice(lo, hi - lo).take(rows) for x in ("doc_id", "text_h")],
+                            *[pa.array(x.astype(np.int32)) for x in (s - offsets[of], before, after)],
                         ],
-                        names=["k1", "k2", "side", "doc_id", "text_h", "s", "pre", "post"],
+                        names=["k1", "k2", "c", "doc_id", "text_h", "s", "before", "after"],
+                    )
+
+    return run
+
+
+def _surroundings(width: int):
+    """(k1, k2, c, pre, post): the bytes before a window, last one first, and after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
+                raw, rows = text.as_py(), wanted.as_py()
+                for lo in range(0, len(rows), 1024):
+                    part = rows[lo : lo + 1024]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([r["k1"] for r in part], pa.int64()), pa.array([r["k2"] for r in part], pa.int32()), pa.array([r["c"] for r in part], pa.int64()),
+                            pa.array([raw[r["s"] - r["before"] : r["s"]][::-1] for r in part], pa.binary()),
+                            pa.array([raw[r["s"] + width : r["s"] + width + r["after"]] for r in part], pa.binary()),
+                        ],
+                        names=["k1", "k2", "c", "pre", "post"],
                     )
 
     return run
@@ -160,49 +185,62 @@ def _alike(a: bytes, b: bytes | None) -> int:
     return low
 
 
-def _extended(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("pre", "pre_1", "pre_2", "post", "post_1", "post_2")}
-            left = [max(_alike(a, x), _alike(a, y)) for a, x, y in zip(c["pre"], c["pre_1"], c["pre_2"], strict=True)]
-            right = [max(_alike(a, x), _alike(a, y)) for a, x, y in zip(c["post"], c["post_1"], c["post_2"], strict=True)]
-            s = batch.column("s").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("text_h"), pa.array(s - np.array(left, np.int32)),
-                    pa.array(s + np.array(right, np.int32) + np.int32(width)), batch.column("f_doc"), batch.column("moved"),
-                ],
-                names=["doc_id", "text_h", "lo", "hi", "f_doc", "moved"],
-            )
-
-    return run
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How far each context agrees with its neighbours in order, to the left and to the right."""
+    for batch in batches:
+        c = {n: batch.column(n).to_pylist() for n in ("pre", "pre_1", "pre_2", "post", "post_1", "post_2")}
+        left = [max(_alike(a, x), _alike(a, y)) for a, x, y in zip(c["pre"], c["pre_1"], c["pre_2"], strict=True)]
+        right = [max(_alike(a, x), _alike(a, y)) for a, x, y in zip(c["post"], c["post_1"], c["post_2"], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(x) for x in (*_KEY, "c")], pa.array(left, pa.int32()), pa.array(right, pa.int32())],
+            names=[*_KEY, "c", "left", "right"],
+        )
 
 
 def equal_pieces(docs: DataFrame, span: int) -> DataFrame:
     """(doc_id, text_h, lo, hi, f_doc, moved): pieces of texts that occur at another place too.
 
-    Their union holds every span of at least ``span`` bytes that occurs twice. In sorted
-    order the neighbours of a place share the longest bytes with it. ``f_doc`` is the
-    document of the least (doc_id, offset) of the piece, ``moved`` false for that place.
+    Their union holds every span of at least ``span`` bytes that occurs twice. Windows with
+    equal bytes on either side are one context; only the different contexts of a window
+    are compared, and in sorted order the neighbours of a context share the longest bytes
+    with it. ``f_doc`` is the document of the least (doc_id, text_h, offset) of the piece,
+    ``moved`` false for that place. Each step is written, so that its shuffles can go.
     """
+    texts, document = _texts(docs), ["doc_id", "text_h"]
     # Equal digests only propose: windows are compared by 96 bits. Read once, so not written.
     again = F.count(F.lit(1)).over(Window.partitionBy("d"))
-    cuts = seeds(docs, span).withColumn("n", again).where("n > 1").groupBy("doc_id", "text_h").agg(F.collect_set("at").alias("cuts"))
-    windows = _texts(docs).join(cuts, ["doc_id", "text_h"]).select("doc_id", "text_h", "text", "cuts").mapInArrow(
-        _windows(span), "k1 long, k2 int, side int, doc_id long, text_h long, s int, pre binary, post binary"
-    )
-    key = ["k1", "k2", "side"]
-    once = windows.repartition(*key).dropDuplicates([*key, "doc_id", "text_h", "s"])
-    whole = Window.partitionBy(*key)
-    near = {"pre": whole.orderBy("pre"), "post": whole.orderBy("post")}
-    met = once.withColumn("first", F.min(F.struct("doc_id", "text_h", "s")).over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
-    met = met.where("n > 1").select(
-        "doc_id", "text_h", "s", "pre", "post", F.col("first.doc_id").alias("f_doc"),
-        (F.col("first") != F.struct("doc_id", "text_h", "s")).alias("moved"),
-        *[f(c).over(w).alias(f"{c}_{i}") for c, w in near.items() for i, f in ((1, F.lag), (2, F.lead))],
-    )
+    cuts = seeds(docs, span).withColumn("n", again).where("n > 1").groupBy(*document).agg(F.collect_set("at").alias("cuts"))
+    cuts = materialize(cuts, "cuts")
+    windows = materialize(texts.join(cuts, document).select(*document, "text", "cuts").mapInArrow(_windows(span), _WINDOW), "windows")
+    discard(cuts)
+    place = F.struct(*document, "s")
+    contexts = windows.groupBy(*_KEY, "c").agg(
+        F.min(place).alias("of"), F.max(place).alias("last"), F.min("before").alias("before"), F.min("after").alias("after")
+    )
+    contexts = materialize(contexts.withColumn("many", F.col("of") != F.col("last")).drop("last"), "window-contexts")
+    keys = contexts.groupBy(*_KEY).agg(F.min("of").alias("first"), F.max("many").alias("any"), F.count(F.lit(1)).alias("kinds"))
+    keys = materialize(keys.where("any OR kinds > 1"), "window-keys")
+    asked = contexts.join(keys.where("kinds > 1").select(*_KEY), _KEY).select(F.col("of.doc_id").alias("doc_id"), F.col("of.text_h").alias("text_h"), F.struct(*_KEY, "c", F.col("of.s").alias("s"), "before", "after").alias("w"))
+    wanted = materialize(asked.groupBy(*document).agg(F.collect_list("w").alias("wanted")), "window-places")
     width = REACH + (span - REACH) // 2
-    return met.mapInArrow(_extended(width), "doc_id long, text_h long, lo int, hi int, f_doc long, moved boolean")
+    # A text whose rows repeat is cut once.
+    beside = materialize(
+        texts.join(wanted, document).select("text", "wanted").mapInArrow(_surroundings(width), "k1 long, k2 int, c long, pre binary, post binary"), "surroundings"
+    )
+    whole = Window.partitionBy(*_KEY)
+    near = {"pre": whole.orderBy("pre", "c"), "post": whole.orderBy("post", "c")}
+    one = beside.repartition(*_KEY).dropDuplicates([*_KEY, "c"])
+    ordered = one.select(*_KEY, "c", "pre", "post", *[f(x).over(w).alias(f"{x}_{i}") for x, w in near.items() for i, f in ((1, F.lag), (2, F.lead))])
+    alike = ordered.mapInArrow(_extended, "k1 long, k2 int, c long, left int, right int")
+    marked = contexts.join(keys.select(*_KEY, "first"), _KEY).join(alike, [*_KEY, "c"], "left")
+    reach = lambda full, own: F.when(F.col("many"), F.col(full)).otherwise(F.coalesce(own, F.lit(0)))
+    marks = materialize(marked.select(*_KEY, "c", "first", reach("before", "left").alias("left"), reach("after", "right").alias("right")), "window-marks")
+    discard(contexts, keys, wanted, beside)
+    pieces = windows.join(marks, [*_KEY, "c"]).select(
+        *document, (F.col("s") - F.col("left")).alias("lo"), (F.col("s") + width + F.col("right")).alias("hi"), F.col("first.doc_id").alias("f_doc"),
+        (F.col("first") != place).alias("moved"),
+    ).distinct()
+    return pieces
 
 
 def short_copies(docs: DataFrame, span: int) -> DataFrame:

@@ -34,7 +34,7 @@ from marginalia.llm.suffix_array import suffix_array
 from marginalia.llm.vectors import mix, runs, slices
 
 _U = np.uint64
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 #: Bytes of a block that is one symbol of a suffix array.
 BLOCK = 32
 #: Bytes of the contexts that one suffix array sorts, a larger anchor's apart.
@@ -56,7 +56,7 @@ def _pow(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Ranges:
     """64-bit hashes of arbitrary byte ranges of one buffer."""
 
-    def __init__(self, data: np.ndarray, base: int = _BASES[0]):
+    def __init__(self, data: np.ndarray, base: int = BASES[0]):
         up, self.down = _pow(base, len(data) + 1)
         with np.errstate(over="ignore"):
             self.total = np.concatenate((np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)])))
@@ -268,7 +268,7 @@ def _single_starts(length: int, passage: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 data = np.frombuffer(batch.column("bytes")[i].as_py(), np.uint8)
-                hashes = [Ranges(data, b) for b in _BASES]
+                hashes = [Ranges(data, b) for b in BASES]
                 for whole, size in ((True, length), (False, passage)):
                     at = np.arange(min(batch.column("span")[i].as_py(), len(data) - size) + 1)
                     if len(at) and (whole or passage < length):
