@@ -236,10 +236,13 @@ def equal_pieces(docs: DataFrame, span: int) -> DataFrame:
     reach = lambda full, own: F.when(F.col("many"), F.col(full)).otherwise(F.coalesce(own, F.lit(0)))
     marks = materialize(marked.select(*_KEY, "c", "first", reach("before", "left").alias("left"), reach("after", "right").alias("right")), "window-marks")
     discard(contexts, keys, wanted, beside)
+    # Rows that repeat a document repeat its pieces, which does the spans no harm.
     pieces = windows.join(marks, [*_KEY, "c"]).select(
         *document, (F.col("s") - F.col("left")).alias("lo"), (F.col("s") + width + F.col("right")).alias("hi"), F.col("first.doc_id").alias("f_doc"),
         (F.col("first") != place).alias("moved"),
-    ).distinct()
+    )
+    pieces = materialize(pieces, "pieces")
+    discard(windows, marks)
     return pieces
 
 
@@ -261,7 +264,7 @@ def repeated_spans(docs: DataFrame, min_span: int = 128) -> DataFrame:
     stay as they are, but for whole texts that another document equals.
     """
     found = equal_pieces(docs, min_span).withColumn("least", F.lit(min_span))
-    pieces = materialize(found.unionByName(short_copies(docs, min_span).withColumn("least", F.lit(1))), "pieces")
+    pieces = found.unionByName(short_copies(docs, min_span).withColumn("least", F.lit(1)))
     ordered = Window.partitionBy("doc_id", "text_h").orderBy("lo", "hi", "f_doc", "moved")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     past, gone = F.max("hi").over(before), F.max(F.when(F.col("moved"), F.col("hi"))).over(before)
