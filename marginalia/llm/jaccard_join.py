@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall
     sets = materialize(own, "reps")
     candidates = connected_components(candidate_edges(sets, similarity, recall)).withColumnRenamed("node", "rep")
     members = materialize(candidates, "candidate-groups")
-    large = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    large = bounded_broadcast(materialize(members.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "group-sizes"))
     sized = members.join(large, "root").join(groups.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_h"), text_or_empty().cast("binary").alias("text"))

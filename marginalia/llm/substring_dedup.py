@@ -207,10 +207,13 @@ def equal_pieces(docs: DataFrame, span: int) -> DataFrame:
     ``moved`` false for that place. Each step is written, so that its shuffles can go.
     """
     texts, document = _texts(docs), ["doc_id", "text_h"]
-    # Equal digests only propose: windows are compared by 96 bits. Read once, so not written.
-    again = F.count(F.lit(1)).over(Window.partitionBy("d"))
-    cuts = seeds(docs, span).withColumn("n", again).where("n > 1").groupBy(*document).agg(F.collect_set("at").alias("cuts"))
+    # Equal digests only propose: windows are compared by 96 bits. The frequent ones are
+    # written first, so that the join can split the rows of a very frequent one.
+    found = materialize(seeds(docs, span), "seeds")
+    again = materialize(found.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d"), "frequent-seeds")
+    cuts = found.join(again, "d", "left_semi").groupBy(*document).agg(F.collect_set("at").alias("cuts"))
     cuts = materialize(cuts, "cuts")
+    discard(found, again)
     windows = materialize(texts.join(cuts, document).select(*document, "text", "cuts").mapInArrow(_windows(span), _WINDOW), "windows")
     discard(cuts)
     place = F.struct(*document, "s")
