@@ -38,7 +38,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/marginalia/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The read below only follows a write that ended, so no marker file is needed.
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

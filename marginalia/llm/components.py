@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bounded_broadcast, discard, materialize
+from marginalia.llm.common import BROADCAST_ROWS, bounded_broadcast, discard, materialize
 
 
-def _minima(edges: DataFrame) -> DataFrame:
-    """(a, m): least neighbour of each node, written first so that the join with it can be
-    a broadcast of checked size or can split the edges of a node with very many."""
-    return bounded_broadcast(materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "minima"))
+def _minima(edges: DataFrame, few: bool) -> DataFrame:
+    """(a, m): least neighbour of each node. Beyond ``few`` edges it is written first, so that
+    the join with it can be a broadcast of checked size or can split the edges of a node
+    with very many."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    return least if few else bounded_broadcast(materialize(least, "minima"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _minima(both).select("a", F.least("a", "m").alias("m"))
+    least = _minima(both, few).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = _minima(edges)
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
+    least = _minima(edges, few)
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -36,11 +38,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
+    few = now.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     mark = None
     while True:
         before = now
-        wide = materialize(_large_star(before), "stars")
-        now = materialize(_small_star(wide), "edges")
+        wide = _large_star(before, few)
+        wide = wide if few else materialize(wide, "stars")
+        now = materialize(_small_star(wide, few), "edges")
         discard(before, wide)
         seen = tuple(
             now.agg(

@@ -57,3 +57,14 @@ def test_query_matches_sql(spark, sf_tiny, name):
     columns = sorted(got.columns)
     want = c.sql(catalog.oracle_sql()[name])
     assert ordered(got.select(*columns).collect()) == ordered(want.select(*columns).fetchall())
+
+
+def test_components_of_many_edges_are_the_same(spark, monkeypatch):
+    from marginalia.llm import components
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000, i) for i in range(1001, 1100)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    one = dict(map(tuple, connected_components(edges).collect()))
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 1)
+    assert dict(map(tuple, connected_components(edges).collect())) == one
