@@ -1,12 +1,14 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models of words, one of the target documents and one of the others, are
-counted over every document of the corpus. They share one vocabulary: the most frequent
-words, bounded by a count that a word must reach, and one symbol for all other words. Both
-are smoothed alike, a bigram backing off to its word. A document's own counts are left
-out of the model that holds them when it is scored. Its score is the mean over its words of
-loss under the target minus loss under the background: the lower, the more it is like
-the target.
+counted over every document of the corpus and share one vocabulary. A word is told apart
+by what stands before it: one of the most frequent words, or the symbol for all others.
+The bigrams of frequent words that occur most are counted by one aggregation and scored
+where the texts are; every other bigram, however rare, travels in packed form to the
+bucket of its hash and is counted and scored there. Both models are smoothed alike, a
+bigram backing off to its word. A document's own counts are left out of the model that
+holds them when it is scored. Its score is the mean over its words of loss under the
+target minus loss under the background: the lower, the more it is like the target.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import bounded_broadcast, discard, materialize, text_or_empty
-from marginalia.llm.vectors import slices, word_hashes
+from marginalia.llm.vectors import mix, runs, slices, word_hashes
 
-#: Most words of the vocabulary and most bigrams that the models tell apart.
+#: Most words with a count of their own, and most bigrams that are scored without a bucket.
 MAX_WORDS, MAX_GRAMS = 32_768, 1_000_000
+#: Words of the corpus to a bucket.
+BUCKET = 1 << 22
 #: Pseudo-count with which a bigram trusts its word, and a word the uniform distribution.
 BACKOFF = 4.0
+#: Packed columns of a bucket: by document, then by different bigram of a document.
+PACKED = {"id": "<i8", "h": "<i8", "length": "<i8", "size": "<i4", "gram": "<u8", "symbol": "<i4", "own": "<i4", "n": "<i4"}
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,9 +58,9 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") >= least) if least is not None else counts.where("false")
 
 
-def _symbols(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, symbol, symbol before it) of every word. ``words`` is sorted; symbol
-    len(words) is any other word, the next one stands before a text."""
+def _symbols(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, symbol, symbol before it, bigram hash) of every word. ``words`` is sorted;
+    symbol len(words) is any other word, the next one stands before a text."""
     doc, word = word_hashes(data, offsets)
     at = np.searchsorted(words, word)
     known = np.zeros(len(word), bool)
@@ -64,7 +70,17 @@ def _symbols(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[
     before = np.concatenate((np.zeros(1, np.int64), now[:-1]))[: len(now)]
     if len(now):
         before[np.concatenate(([True], doc[1:] != doc[:-1]))] = len(words) + 1
-    return doc, now, before
+    with np.errstate(over="ignore"):
+        gram = mix(word + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return doc, now, before, gram
+
+
+def _own(doc: np.ndarray, symbol: np.ndarray, width: int) -> np.ndarray:
+    """How often the document of every word has its symbol."""
+    if not len(doc):
+        return np.zeros(0, np.int64)
+    _, group = np.unique(doc * np.int64(width) + symbol, return_inverse=True)
+    return np.bincount(group)[group]
 
 
 def _gram_counts(words: np.ndarray):
@@ -75,7 +91,7 @@ def _gram_counts(words: np.ndarray):
             wanted = batch.column("target").to_numpy(zero_copy_only=False)
             codes = [np.zeros(0, np.int64)]
             for lo, hi, data, offsets in slices(batch, "text"):
-                doc, now, before = _symbols(data, offsets, words)
+                doc, now, before, _ = _symbols(data, offsets, words)
                 codes.append((before * width + now) * 2 + wanted[lo:hi][doc])
             code, n = np.unique(np.concatenate(codes), return_counts=True)
             good = code & 1
@@ -88,39 +104,45 @@ def _gram_counts(words: np.ndarray):
 
 
 class Models:
-    """Both models as dense arrays by symbol and sorted arrays of the frequent bigrams."""
+    """Both models as dense arrays by symbol and sorted arrays of the frequent bigrams.
 
-    def __init__(self, words: np.ndarray, unigrams: np.ndarray, grams: np.ndarray, counts: np.ndarray):
-        self.words, self.width = words, len(words) + 2
-        self.unigrams, self.grams, self.counts = unigrams, grams, counts
-        self.contexts = np.zeros_like(unigrams)
-        for m in range(2):
-            self.contexts[m] = np.bincount(grams // self.width, counts[m], self.width)
+    ``others`` is the number of different words without a symbol of their own.
+    """
+
+    def __init__(self, words: np.ndarray, others: int, unigrams: np.ndarray, contexts: np.ndarray, grams: np.ndarray, counts: np.ndarray):
+        self.words, self.others, self.width = words, others, len(words) + 2
+        self.unigrams, self.contexts, self.grams, self.counts = unigrams, contexts, grams, counts
         self.totals = unigrams.sum(axis=1)
 
+    def place(self, now: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the frequent bigrams, whether it is one) of every word."""
+        code = before * self.width + now
+        if not len(self.grams):
+            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+        at = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
+        return at, self.grams[at] == code
+
+    def word(self, m: int, symbol: np.ndarray, own: np.ndarray, length: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """p(w) = (n(w) + k / V) / (N + k) by symbol, V being the number of symbols of a
+        text; the words without a symbol share theirs equally."""
+        p = (self.unigrams[m][symbol] - own * left + BACKOFF / (self.width - 1)) / (self.totals[m] - length * left + BACKOFF)
+        return np.where(symbol == len(self.words), p / max(self.others, 1), p)
+
     def losses(self, doc: np.ndarray, now: np.ndarray, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Bits of every word under both models, each without the word's own document.
 
-        p(w) = (n(w) + k / V) / (N + k), p(w | v) = (n(v w) + k p(w)) / (n(v) + k) over
-        the bigrams that are told apart, V being the number of symbols of a text.
+        p(w | v) = (n(v w) + k p(w)) / (n(v) + k). Here n(v w) is 0 for a bigram that is
+        not among the frequent ones; its bucket adds the difference.
         """
-        code = before * self.width + now
-        place = np.minimum(np.searchsorted(self.grams, code), max(len(self.grams) - 1, 0))
-        kept = self.grams[place] == code if len(self.grams) else np.zeros(len(code), bool)
-
-        def own(symbol: np.ndarray, weight: np.ndarray) -> np.ndarray:
-            _, group = np.unique(doc * np.int64(self.width) ** 2 + symbol, return_inverse=True)
-            return np.bincount(group, weight)[group] if len(group) else np.zeros(0)
-
-        every = np.ones(len(doc))
-        mine = own(now, every), own(before, kept * 1.0), own(code, kept * 1.0) * kept
+        place, kept = self.place(now, before)
         length = np.bincount(doc, minlength=doc.max() + 1 if len(doc) else 0)[doc]
+        single, context, pair = _own(doc, now, self.width), _own(doc, before, self.width), np.zeros(len(doc), np.int64)
+        pair[kept] = _own(doc[kept], place[kept], len(self.grams))
         out = np.empty((2, len(doc)))
         for m in range(2):
             left = target[doc] == (m == 0)
-            pair = (self.counts[m][place] * kept if len(self.grams) else 0) - mine[2] * left
-            word = (self.unigrams[m][now] - mine[0] * left + BACKOFF / (self.width - 1)) / (self.totals[m] - length * left + BACKOFF)
-            p = (pair + BACKOFF * word) / (self.contexts[m][before] - mine[1] * left + BACKOFF)
+            both = (self.counts[m][place] if len(self.grams) else 0) * kept - pair * left
+            p = (both + BACKOFF * self.word(m, now, single, length, left)) / (self.contexts[m][before] - context * left + BACKOFF)
             out[m] = -np.log2(p)
         return out
 
@@ -131,18 +153,102 @@ def _score(shared):
         for batch in batches:
             target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, data, offsets in slices(batch, "text"):
-                doc, now, before = _symbols(data, offsets, models.words)
+                doc, now, before, _ = _symbols(data, offsets, models.words)
                 bits = models.losses(doc, now, before, target[lo:hi])
-                n = np.bincount(doc, minlength=hi - lo)
-                mean = [np.bincount(doc, b, hi - lo) / np.maximum(n, 1) for b in bits]
+                sums = [np.bincount(doc, b, hi - lo).astype(float) for b in bits]
+                same = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "id", "h")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(mean[0]), pa.array(mean[1])],
-                    names=["doc_id", "n_tokens", "loss_target", "loss_background"],
+                    [*same, pa.array(np.bincount(doc, minlength=hi - lo)), *map(pa.array, sums)],
+                    names=["doc_id", "id", "h", "n_tokens", "bits_target", "bits_background"],
                 )
 
     return run
 
 
+def _packed(values: np.ndarray, bounds: np.ndarray, kind: str) -> pa.Array:
+    """Binary values, one for each stretch between ``bounds``."""
+    raw = np.ascontiguousarray(values, kind)
+    ends = (bounds * raw.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Places where any of the columns differs from the value before."""
+    fresh = np.ones(len(columns[0]), bool)
+    if len(fresh):
+        fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(fresh)
+
+
+def _rare(shared, buckets: int):
+    """One row per piece of texts and bucket: the bigrams that are not among the frequent
+    ones, once per document, with what their loss depends on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: Models = shared.value
+        for batch in batches:
+            target, ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("target", "id", "h"))
+            for lo, hi, data, offsets in slices(batch, "text"):
+                doc, now, before, gram = _symbols(data, offsets, models.words)
+                rare = ~models.place(now, before)[1]
+                if not rare.any():
+                    continue
+                length = np.bincount(doc, minlength=hi - lo) * 2 + target[lo:hi]
+                columns = doc[rare], gram[rare], now[rare], _own(doc, now, models.width)[rare]
+                bucket = (columns[1] >> np.uint64(20)) % np.uint64(buckets)
+                order = np.lexsort((columns[1], columns[0], bucket))
+                doc, gram, now, own, bucket = (c[order] for c in (*columns, bucket))
+                first = _starts(doc, gram)
+                n = np.diff(np.append(first, len(doc)))
+                doc, gram, now, own, bucket = (c[first] for c in (doc, gram, now, own, bucket))
+                group, row = _starts(bucket, doc), _starts(bucket)
+                by_gram = np.append(row, len(doc))
+                by_doc = np.searchsorted(group, by_gram)
+                who = doc[group]
+                values = {
+                    "id": ids[lo:hi][who], "h": hashes[lo:hi][who], "length": length[who], "size": np.diff(np.append(group, len(doc))),
+                    "gram": gram, "symbol": now, "own": own, "n": n,
+                }
+                packed = [_packed(values[c], by_doc if i < 4 else by_gram, kind) for i, (c, kind) in enumerate(PACKED.items())]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[row].astype(np.int64)), *packed], names=["bucket", *PACKED])
+
+    return run
+
+
+def _corrections(shared):
+    """Bits that the counts of a bucket's bigrams add to the losses of their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: Models = shared.value
+        for table in runs(batches, "bucket"):
+            c = {k: np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in PACKED.items()}
+            rows = np.array([len(b) // 8 for b in table.column("id").to_pylist()])
+            bucket = np.repeat(table.column("bucket").to_numpy(), rows)
+            order = np.argsort(c["gram"], kind="stable")
+            first = _starts(c["gram"][order])
+            group = np.empty(len(order), np.int64)
+            group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            doc = np.repeat(np.arange(len(c["id"])), c["size"])
+            good = (c["length"] & 1).astype(bool)
+            counts = [np.bincount(group, c["n"] * (good == (m == 0))[doc], len(first)) for m in range(2)]
+            shared_grams = np.flatnonzero((counts[0] + counts[1])[group] > c["n"])
+            doc, group, n, symbol, own = (x[shared_grams] for x in (doc, group, c["n"], c["symbol"], c["own"]))
+            bits = []
+            for m in range(2):
+                left = good[doc] == (m == 0)
+                word = models.word(m, symbol, own, (c["length"] >> 1)[doc], left)
+                bits.append(np.bincount(doc, -n * np.log2(1 + (counts[m][group] - n * left) / (BACKOFF * word)), len(good)).astype(float))
+            # Repeated rows bring the same bits; one of them stands for all.
+            order = np.lexsort((c["h"], c["id"], bucket))
+            one = order[_starts(bucket[order], c["id"][order], c["h"][order])]
+            one = one[(bits[0][one] != 0) | (bits[1][one] != 0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[one]) for x in (c["id"], c["h"], *bits)], names=["id", "h", "more_target", "more_background"]
+            )
+
+    return run
+
+
 def _sorted_columns(df: DataFrame, key: str, *values: str) -> list[np.ndarray]:
     got = df.select(key, *values).toArrow()
     columns = [got[c].to_numpy() for c in (key, *values)]
@@ -150,22 +256,29 @@ def _sorted_columns(df: DataFrame, key: str, *values: str) -> list[np.ndarray]:
     return [c[order] for c in columns]
 
 
+def _by_symbol(grams: DataFrame, symbol: Column, width: int) -> np.ndarray:
+    out = np.zeros((2, width))
+    for r in grams.groupBy(symbol.cast("long").alias("s")).agg(F.sum("n_target").alias("t"), F.sum("n_background").alias("b")).toArrow().to_pylist():
+        out[:, r["s"]] = r["t"], r["b"]
+    return out
+
+
 def train(marked: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Models:
     """Models of the rows of ``marked`` (text binary, target int), counted over all of them."""
     words = materialize(marked.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     vocabulary = _sorted_columns(frequent(words, max_words), "word")[0].view(np.uint64)
+    others = words.count() - len(vocabulary)
     counted = marked.mapInArrow(_gram_counts(vocabulary), "gram long, n_target long, n_background long")
     grams = materialize(counted.groupBy("gram").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background")), "grams")
     discard(words)
     width = len(vocabulary) + 2
-    single = grams.groupBy((F.col("gram") % width).alias("word")).agg(F.sum("n_target").alias("t"), F.sum("n_background").alias("b"))
-    unigrams = np.zeros((2, width))
-    for r in single.toArrow().to_pylist():
-        unigrams[:, r["word"]] = r["t"], r["b"]
-    kept = frequent(grams.withColumn("n", F.col("n_target") + F.col("n_background")), max_grams)
-    gram, t, b = _sorted_columns(kept, "gram", "n_target", "n_background")
+    unigrams = _by_symbol(grams, F.col("gram") % width, width)
+    contexts = _by_symbol(grams, F.floor(F.col("gram") / width), width)
+    # Bigrams that end in a word without a symbol are told apart by the word, in buckets.
+    named = grams.where(F.col("gram") % width < len(vocabulary)).withColumn("n", F.col("n_target") + F.col("n_background"))
+    gram, t, b = _sorted_columns(frequent(named, max_grams), "gram", "n_target", "n_background")
     discard(grams)
-    return Models(vocabulary, unigrams, gram, np.array([t, b], np.float64).reshape(2, -1))
+    return Models(vocabulary, others, unigrams, contexts, gram, np.array([t, b], np.float64).reshape(2, -1))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> DataFrame:
@@ -176,15 +289,28 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, max_words: int
     are mean bits per token. Null and empty texts score 0. Without target documents its
     model is uniform. Repeated rows count as often as they occur; a row leaves out itself only.
 
-    All words and all bigrams of all documents are counted; what the executors get to score
-    with are the at most ``max_words`` most frequent words and the at most ``max_grams``
-    most frequent bigrams, of both models together.
+    All words and all bigrams of all documents are counted and all of them score. The
+    executors get the at most ``max_words`` most frequent words, which are the contexts that
+    are told apart, and the at most ``max_grams`` most frequent bigrams, those that would make a
+    bucket large; where a bigram is counted does not change its loss. The number of buckets
+    follows the number of words.
     """
     ids = target.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_t")).distinct()
-    marked = docs.select("doc_id", "text").join(bounded_broadcast(ids), F.col("doc_id") == F.col("_t"), "left").select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), F.col("_t").isNotNull().cast("int").alias("target")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    keys = F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("doc_id", "text").alias("h")
+    marked = rows.join(bounded_broadcast(ids), F.col("doc_id") == F.col("_t"), "left").select(
+        "doc_id", *keys, F.col("text").cast("binary").alias("text"), F.col("_t").isNotNull().cast("int").alias("target")
     )
     models = train(marked.select("text", "target"), max_words, max_grams)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    scored = marked.mapInArrow(_score(shared), "doc_id long, n_tokens long, loss_target double, loss_background double")
-    return scored.withColumn("score", F.col("loss_target") - F.col("loss_background"))
+    scored = marked.mapInArrow(_score(shared), "doc_id long, id long, h long, n_tokens long, bits_target double, bits_background double")
+    buckets = int(models.totals.sum()) // BUCKET + 1
+    kinds = ", ".join(f"{c} binary" for c in PACKED)
+    rare = marked.select("id", "h", "text", "target").mapInArrow(_rare(shared, buckets), f"bucket long, {kinds}")
+    dealt = rare.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    more = dealt.mapInArrow(_corrections(shared), "id long, h long, more_target double, more_background double")
+    more = more.groupBy("id", "h").agg(F.sum("more_target").alias("more_target"), F.sum("more_background").alias("more_background"))
+    each = scored.join(more, ["id", "h"], "left")
+    loss = lambda m: F.coalesce((F.col(f"bits_{m}") + F.coalesce(f"more_{m}", F.lit(0.0))) / F.nullif("n_tokens", F.lit(0)), F.lit(0.0))
+    out = each.select("doc_id", "n_tokens", loss("target").alias("loss_target"), loss("background").alias("loss_background"))
+    return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))

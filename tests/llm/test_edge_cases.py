@@ -96,33 +96,42 @@ def test_proximity(spark):
     assert [r.doc_id for r in decontaminate.proximity_matches(docs, phrases, postings, anchors, 2).collect()] == [1]
 
 
-def test_lm_scores_match_brute_force(spark, docs, none):
+@pytest.mark.parametrize(("max_words", "max_grams", "bucket"), [(2, 3, 1 << 22), (2, 0, 5), (3, 2, 3), (0, 0, 4), (100, 100, 2)])
+def test_lm_scores_match_brute_force(spark, docs, none, monkeypatch, max_words, max_grams, bucket):
+    monkeypatch.setattr(lm_score, "BUCKET", bucket)
     texts = [("a b a b c", True), ("b a q a\tb", False), ("", False), (None, True), ("a b c a b rare", True), ("c c a b", False), ("a b", False)]
-    frame = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(texts)], "doc_id long, text string, gram string")
+    texts += [("q rare rare b", False), ("b rare q a rare", True)]
+    # Rows are told apart by id and text; a repeated row counts twice.
+    table = [(i, t, good) for i, (t, good) in enumerate(texts)] + [(5, "c c a b", False), (5, "rare rare c", False), (None, "b rare", False)]
+    frame = spark.createDataFrame([(i, t, "x", 7) for i, t, _ in table], "doc_id long, text string, gram string, bucket long")
     target = spark.createDataFrame([(i,) for i, (_, good) in enumerate(texts) if good], "doc_id long")
-    words = [(t or "").split() for t, _ in texts]
+    words = [(t or "").split() for _, t, _ in table]
     count = lambda seqs: {x: sum(s.count(x) for s in seqs) for s in seqs for x in s}
-    vocabulary = {w for w, n in count(words).items() if n >= 5}
-    assert vocabulary == {"a", "b"}
-    symbols = [[w if w in vocabulary else "?" for w in ws] for ws in words]
-    pairs = [list(zip(["^", *s], s)) for s in symbols]
-    told = {g for g, n in count(pairs).items() if n >= 3}
+    totals = count(words)
+    least = min((n for n in totals.values() if sum(m >= n for m in totals.values()) <= max_words), default=10**9)
+    vocabulary = {w for w, n in totals.items() if n >= least}
+    symbol = lambda w: w if w in vocabulary else "?"
+    pairs = [list(zip(["^", *map(symbol, ws)], ws)) for ws in words]
 
     def bits(i, good):
-        left = [j for j, (_, g) in enumerate(texts) if g == good and j != i]
-        single, double = count([symbols[j] for j in left]), count([[g for g in pairs[j] if g in told] for j in left])
+        left = [j for j, (_, _, g) in enumerate(table) if g == good and j != i]
+        single, double = count([[symbol(w) for w in words[j]] for j in left]), count([pairs[j] for j in left])
         total = 0.0
         for v, w in pairs[i]:
-            p = (single.get(w, 0) + BACKOFF / 3) / (sum(single.values()) + BACKOFF)
+            p = (single.get(symbol(w), 0) + BACKOFF / (len(vocabulary) + 1)) / (sum(single.values()) + BACKOFF)
+            p = p if w in vocabulary else p / (len(totals) - len(vocabulary))
             context = sum(n for g, n in double.items() if g[0] == v)
             total -= math.log2((double.get((v, w), 0) + BACKOFF * p) / (context + BACKOFF))
         return total / max(len(pairs[i]), 1)
 
-    out = {r.doc_id: r for r in lm_score.cross_entropy_difference(frame, target, max_words=2, max_grams=len(told)).collect()}
-    for i in range(len(texts)):
-        assert out[i].loss_target == pytest.approx(bits(i, True)) and out[i].loss_background == pytest.approx(bits(i, False))
-    assert len(lm_score.cross_entropy_difference(docs, target.limit(0)).collect()) == len(rows())
-    assert lm_score.cross_entropy_difference(none, target).collect() == []
+    got = lm_score.cross_entropy_difference(frame, target, max_words=max_words, max_grams=max_grams).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *(round(x, 9) for x in r[1:]))
+    wanted = [(i, len(words[j]), bits(j, True), bits(j, False)) for j, (i, _, _) in enumerate(table)]
+    for one, other in zip(sorted((tuple(r)[:4] for r in got), key=key), sorted(wanted, key=key), strict=True):
+        assert one[:2] == other[:2] and one[2:] == pytest.approx(other[2:])
+    if max_words == 2:
+        assert len(lm_score.cross_entropy_difference(docs, target.limit(0)).collect()) == len(rows())
+        assert lm_score.cross_entropy_difference(none, target).collect() == []
 
 
 def test_chunks_survive_an_insertion():
