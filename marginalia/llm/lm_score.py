@@ -26,7 +26,7 @@ from marginalia.llm.vectors import mix, runs, slices, word_hashes
 #: Most words with a count of their own, and most bigrams that are scored without a bucket.
 MAX_WORDS, MAX_GRAMS = 32_768, 1_000_000
 #: Words of the corpus to a bucket.
-BUCKET = 1 << 22
+BUCKET = 1 << 21
 #: Pseudo-count with which a bigram trusts its word, and a word the uniform distribution.
 BACKOFF = 4.0
 #: Packed columns of a bucket: by document, then by different bigram of a document.
@@ -221,18 +221,21 @@ def _corrections(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: Models = shared.value
         for table in runs(batches, "bucket"):
-            c = {k: np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in PACKED.items()}
             rows = np.array([len(b) // 8 for b in table.column("id").to_pylist()])
             bucket = np.repeat(table.column("bucket").to_numpy(), rows)
-            order = np.argsort(c["gram"], kind="stable")
-            first = _starts(c["gram"][order])
-            group = np.empty(len(order), np.int64)
-            group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-            doc = np.repeat(np.arange(len(c["id"])), c["size"])
+            c = {k: np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in PACKED.items()}
+            del table
+            order = np.argsort(c["gram"], kind="stable").astype(np.int32)
+            first = _starts(c.pop("gram")[order])
+            group = np.empty(len(order), np.int32)
+            group[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+            del order
+            doc = np.repeat(np.arange(len(c["id"]), dtype=np.int32), c["size"])
             good = (c["length"] & 1).astype(bool)
             counts = [np.bincount(group, c["n"] * (good == (m == 0))[doc], len(first)) for m in range(2)]
-            shared_grams = np.flatnonzero((counts[0] + counts[1])[group] > c["n"])
-            doc, group, n, symbol, own = (x[shared_grams] for x in (doc, group, c["n"], c["symbol"], c["own"]))
+            met = np.flatnonzero((counts[0] + counts[1])[group] > c["n"])
+            doc, group, n, symbol, own = doc[met], group[met], *(c.pop(k)[met] for k in ("n", "symbol", "own"))
+            del met
             bits = []
             for m in range(2):
                 left = good[doc] == (m == 0)
