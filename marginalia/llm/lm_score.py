@@ -31,6 +31,8 @@ BUCKET = 1 << 21
 BACKOFF = 4.0
 #: Packed columns of a bucket: by document, then by different bigram of a document.
 PACKED = {"id": "<i8", "h": "<i8", "length": "<i8", "size": "<i4", "gram": "<u8", "symbol": "<i4", "own": "<i4", "n": "<i4"}
+#: Packed columns of what a bucket adds to the documents of a piece of texts.
+SUMS = {"id": "<i8", "h": "<i8", "more_target": "<f8", "more_background": "<f8"}
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +212,8 @@ def _rare(shared, buckets: int):
                     "gram": gram, "symbol": now, "own": own, "n": n,
                 }
                 packed = [_packed(values[c], by_doc if i < 4 else by_gram, kind) for i, (c, kind) in enumerate(PACKED.items())]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[row].astype(np.int64)), *packed], names=["bucket", *PACKED])
+                piece = np.full(len(row), hashes[lo:hi].sum())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[row].astype(np.int64)), pa.array(piece), *packed], names=["bucket", "piece", *PACKED])
 
     return run
 
@@ -224,6 +227,7 @@ def _corrections(shared):
             rows = np.array([len(b) // 8 for b in table.column("id").to_pylist()])
             bucket = np.repeat(table.column("bucket").to_numpy(), rows)
             c = {k: np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in PACKED.items()}
+            piece = table.column("piece")
             del table
             order = np.argsort(c["gram"], kind="stable").astype(np.int32)
             first = _starts(c.pop("gram")[order])
@@ -244,14 +248,24 @@ def _corrections(shared):
             # Repeated rows bring the same bits; one of them stands for all.
             order = np.lexsort((c["h"], c["id"], bucket))
             one = order[_starts(bucket[order], c["id"][order], c["h"][order])]
-            one = one[(bits[0][one] != 0) | (bits[1][one] != 0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[one]) for x in (c["id"], c["h"], *bits)], names=["id", "h", "more_target", "more_background"]
-            )
+            one = np.sort(one[(bits[0][one] != 0) | (bits[1][one] != 0)])
+            bounds = np.searchsorted(one, np.concatenate(([0], np.cumsum(rows))))
+            sums = [_packed(x[one], bounds, kind) for x, kind in zip((c["id"], c["h"], *bits), SUMS.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.combine_chunks(), *sums], names=["piece", *SUMS])
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document of a piece: what all buckets add to its losses."""
+    for table in runs(batches, "piece"):
+        c = {k: np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in SUMS.items()}
+        order = np.lexsort((c["h"], c["id"]))
+        first = _starts(c["id"][order], c["h"][order])
+        bits = [np.add.reduceat(c[k][order], first) if len(first) else np.zeros(0) for k in ("more_target", "more_background")]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["id"][order][first], c["h"][order][first], *bits)], names=list(SUMS))
+
+
 def _sorted_columns(df: DataFrame, key: str, *values: str) -> list[np.ndarray]:
     got = df.select(key, *values).toArrow()
     columns = [got[c].to_numpy() for c in (key, *values)]
@@ -309,9 +323,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, max_words: int
     scored = marked.mapInArrow(_score(shared), "doc_id long, id long, h long, n_tokens long, bits_target double, bits_background double")
     buckets = int(models.totals.sum()) // BUCKET + 1
     kinds = ", ".join(f"{c} binary" for c in PACKED)
-    rare = marked.select("id", "h", "text", "target").mapInArrow(_rare(shared, buckets), f"bucket long, {kinds}")
+    rare = marked.select("id", "h", "text", "target").mapInArrow(_rare(shared, buckets), f"bucket long, piece long, {kinds}")
     dealt = rare.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    more = dealt.mapInArrow(_corrections(shared), "id long, h long, more_target double, more_background double")
+    parts = dealt.mapInArrow(_corrections(shared), "piece long, " + ", ".join(f"{c} binary" for c in SUMS))
+    # A piece is a few thousand documents, so their sums need little memory. Pieces only bring
+    # parts together; documents are told apart by id and text.
+    pieces = parts.repartition("piece").sortWithinPartitions("piece")
+    more = pieces.mapInArrow(_summed, "id long, h long, more_target double, more_background double")
     more = more.groupBy("id", "h").agg(F.sum("more_target").alias("more_target"), F.sum("more_background").alias("more_background"))
     each = scored.join(more, ["id", "h"], "left")
     loss = lambda m: F.coalesce((F.col(f"bits_{m}") + F.coalesce(f"more_{m}", F.lit(0.0))) / F.nullif("n_tokens", F.lit(0)), F.lit(0.0))
