@@ -76,9 +76,7 @@ def occurrences(text: Column, part: Column) -> Column:
 
 def placed(text: Column, regex: Column) -> Column:
     """Array of (start, end, found) of all matches: gaps between them come from a split."""
-    found = F.regexp_extract_all(text, regex, F.lit(0))
     gaps = F.transform(F.split(text, regex, F.lit(-1)), lambda g: F.char_length(g))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -89,7 +87,65 @@ def placed(text: Column, regex: Column) -> Column:
             F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("found")))).alias("out"),
         )
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    def read(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step, lambda acc: acc["out"])).when(F.size(found) == 0, empty["out"])
+
+    return let(F.regexp_extract_all(text, regex, F.lit(0)), read)
+
+
+#: Noncharacters that mark the beginning and the ends of matches; no text should hold them.
+_BEGIN, _END, _LAST = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, which expressions in lambdas are not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def marked(text: Column, pattern: str, group: int) -> Column:
+    """Array of (start, end, found, value) of all matches of a pattern that is never empty;
+    ``value`` is a group of each. The pattern is applied once: marks put around its matches
+    tell them from the gaps. A text with such marks in it is searched as :func:`placed` does."""
+    put = f"{_BEGIN}$0{_END}${group}{_LAST}"
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(put)), _BEGIN)
+    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string,value:string>>)").alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        found, rest = F.substring_index(part, _END, 1), F.substring_index(part, _END, -1)
+        value, gap = F.substring_index(rest, _LAST, 1), F.substring_index(rest, _LAST, -1)
+        end = acc["at"] + F.char_length(found)
+        row = F.struct(acc["at"].alias("start"), end.alias("end"), found.alias("found"), value.alias("value"))
+        return F.struct((end + F.char_length(gap)).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    def read(p: Column) -> Column:
+        first = F.struct(F.char_length(F.get(p, F.lit(0))).alias("at"), empty["out"].alias("out"))
+        return F.when(F.size(p) > 1, F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), first, step, lambda acc: acc["out"])).otherwise(empty["out"])
+
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    slow = F.zip_with(
+        placed(text, F.lit(pattern)), values, lambda m, v: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), v.alias("value"))
+    )
+    return F.when(text.rlike(f"[{_BEGIN}{_END}{_LAST}]"), slow).otherwise(let(parts, read))
+
+
+def literal_places(text: Column, value: Column) -> Column:
+    """Array of (start, end, found) where a value that is not empty stands in a text, from
+    the left, none inside another; no pattern is made of it."""
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
+
+    def step(acc: Column, gap: Column) -> Column:
+        end = acc["at"] + F.char_length(value)
+        row = F.struct(acc["at"].alias("start"), end.alias("end"), value.alias("found"))
+        return F.struct((end + F.char_length(gap)).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    def read(p: Column) -> Column:
+        first = F.struct(F.char_length(F.get(p, F.lit(0))).alias("at"), empty.alias("out"))
+        return F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), first, step, lambda acc: acc["out"])
+
+    slow = placed(text, F.regexp_replace(value, r"([^\p{L}\p{N}])", r"\\$1"))
+    fast = let(F.split(F.replace(text, value, F.lit(_BEGIN)), _BEGIN), read)
+    return F.when((value == "") | text.contains(_BEGIN), slow).when(~text.contains(value), empty).otherwise(fast)
 
 
 def escape_cell(text: Column) -> Column:

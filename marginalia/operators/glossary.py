@@ -126,7 +126,7 @@ def hits(texts: DataFrame, compiled: DataFrame, key: str = "text_id") -> DataFra
         "all", none, lambda acc, h: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > h["start"]), acc).otherwise(F.concat(acc, F.array(h)))
     )
     taken = ranked.select("norm_text", F.explode(greedy).alias("h"))
-    return texts.select(key, "norm_text").join(taken, "norm_text").select(
+    return texts.select(key, "norm_text").join(taken.hint("merge"), "norm_text").select(
         key, "h.start", "h.end", "h.matched_text", "h.source_term", "h.target_term", "h.priority", "h.do_not_translate"
     )
 

@@ -138,7 +138,7 @@ def select_candidates(nodes: DataFrame, compiled_terms: DataFrame) -> DataFrame:
     by_item = found.groupBy("text_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "matched_text", "source_term", "target_term", "priority", "do_not_translate"))).alias("hits")
     ).withColumnRenamed("text_id", "item_id")
-    joined = rows.join(by_item, "item_id", "left").withColumn("locked", tokens.lock_tokens(F.col("text")))
+    joined = rows.join(by_item.hint("merge"), "item_id", "left").withColumn("locked", tokens.lock_tokens(F.col("text")))
     ready = joined.withColumns(
         {
             "code_only": tokens.is_code_only(F.col("text"), F.col("locked"), F.col("norm")),

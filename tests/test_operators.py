@@ -205,3 +205,18 @@ def test_layout_of_dense_table_and_exhausted_pages(spark):
     assert out[4, "i0"].status == "candidate_exhausted" and out[4, "i0"].x0 is None
     first = [r for (p, _), r in out.items() if p == 1 and r.status == "placed"]
     assert len(first) >= 4 and all(r.movement <= layout.NEAR for r in first)
+
+
+def test_marks_in_texts_and_values_found_once(spark):
+    odd = "﷐ 5 cm ﷑AB-9﷒ AB-9"
+    assert locked(spark, odd) == [[("number", "5"), ("unit", "cm"), ("generic_code", "AB-9"), ("generic_code", "AB-9")]]
+    cases = [("aa.a aa", "a"), ("x+x+x", "x+x"), ("﷐q q", "q"), ("ää ä", "ä"), ("none", "zz"), ("a.b axb", "a.b")]
+    rows = spark.createDataFrame(cases, "t string, v string").select("t", text.literal_places(F.col("t"), F.col("v")).alias("p"))
+    got = {r.t: [(x.start, x.end) for x in r.p] for r in rows.collect()}
+    assert got == {"aa.a aa": [(0, 1), (1, 2), (3, 4), (5, 6), (6, 7)], "x+x+x": [(0, 3)], "﷐q q": [(1, 2), (3, 4)], "ää ä": [(0, 1), (1, 2), (3, 4)], "none": [], "a.b axb": [(0, 3)]}
+
+
+def test_heavy_work_on_a_small_file_is_spread(spark, sf_tiny):
+    import __spark_entry__ as entry
+
+    assert entry.queries()["f6_validate_tokens"](spark, sf_tiny).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
