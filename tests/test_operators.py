@@ -220,3 +220,9 @@ def test_heavy_work_on_a_small_file_is_spread(spark, sf_tiny):
     import __spark_entry__ as entry
 
     assert entry.queries()["f6_validate_tokens"](spark, sf_tiny).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_matching_never_broadcasts_texts(spark):
+    spans, nodes = matching.with_neighbours(frame(spark, {"rows": SPANS + BAG})), matching.with_neighbours(frame(spark, {"rows": [NODE]})).withColumn("diagonal", F.lit(1031.1))
+    plan = matching.exact_matches(nodes, matching.span_chains(spans))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
