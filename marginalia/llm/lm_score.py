@@ -27,6 +27,8 @@ from marginalia.llm.vectors import mix, runs, slices, word_hashes
 MAX_WORDS, MAX_GRAMS = 32_768, 1_000_000
 #: Words of the corpus to a bucket.
 BUCKET = 1 << 21
+#: Bigrams that a task computes or returns at once, and words that it counts at once.
+STEP, COUNTED = 1 << 18, 1 << 19
 #: Pseudo-count with which a bigram trusts its word, and a word the uniform distribution.
 BACKOFF = 4.0
 #: Packed columns of a bucket: by document, then by different bigram of a document.
@@ -35,11 +37,24 @@ PACKED = {"id": "<i8", "h": "<i8", "length": "<i8", "size": "<i4", "gram": "<u8"
 SUMS = {"id": "<i8", "h": "<i8", "more_target": "<f8", "more_background": "<f8"}
 
 
+def _gathered(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The parts joined to stretches of about COUNTED values, so that sorting one takes little."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= COUNTED:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [word_hashes(data, offsets)[1] for _, _, data, offsets in slices(batch, "text")]
-        word, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+        for words in _gathered(word_hashes(data, offsets)[1] for _, _, data, offsets in slices(batch, "text")):
+            word, n = np.unique(words, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
 def _rounded(n: Column) -> Column:
@@ -88,19 +103,23 @@ def _own(doc: np.ndarray, symbol: np.ndarray, width: int) -> np.ndarray:
 def _gram_counts(words: np.ndarray):
     width = len(words) + 2
 
+    def codes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        wanted = batch.column("target").to_numpy(zero_copy_only=False)
+        for lo, hi, data, offsets in slices(batch, "text"):
+            doc, now, before, _ = _symbols(data, offsets, words)
+            yield (before * width + now) * 2 + wanted[lo:hi][doc]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("target").to_numpy(zero_copy_only=False)
-            codes = [np.zeros(0, np.int64)]
-            for lo, hi, data, offsets in slices(batch, "text"):
-                doc, now, before, _ = _symbols(data, offsets, words)
-                codes.append((before * width + now) * 2 + wanted[lo:hi][doc])
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            good = code & 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(code >> 1), pa.array(np.where(good, n, 0)), pa.array(np.where(good, 0, n))],
-                names=["gram", "n_target", "n_background"],
-            )
+            for some in _gathered(codes(batch)):
+                code, n = np.unique(some, return_counts=True)
+                for at in range(0, len(code), STEP):
+                    c, k = code[at : at + STEP], n[at : at + STEP]
+                    good = c & 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c >> 1), pa.array(np.where(good, k, 0)), pa.array(np.where(good, 0, k))],
+                        names=["gram", "n_target", "n_background"],
+                    )
 
     return run
 
@@ -218,6 +237,20 @@ def _rare(shared, buckets: int):
     return run
 
 
+def _add_bits(models: Models, bits: np.ndarray, at: np.ndarray, sizes: np.ndarray, doc: np.ndarray, good: np.ndarray, c: dict[str, np.ndarray]) -> None:
+    """Add to ``bits`` of both models what the entries ``at`` bring; they are those of whole
+    bigrams of ``sizes`` entries, ``doc`` is the document of every entry."""
+    group, n = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), c["n"][at]
+    counts = [np.bincount(group, n * (good[doc[at]] == (m == 0)), len(sizes)) for m in range(2)]
+    met = np.flatnonzero((counts[0] + counts[1])[group] > n)
+    at, group, n = at[met], group[met], n[met]
+    who, symbol, own = doc[at], c["symbol"][at], c["own"][at]
+    for m in range(2):
+        left = good[who] == (m == 0)
+        word = models.word(m, symbol, own, (c["length"] >> 1)[who], left)
+        bits[m] += np.bincount(who, -n * np.log2(1 + (counts[m][group] - n * left) / (BACKOFF * word)), len(good))
+
+
 def _corrections(shared):
     """Bits that the counts of a bucket's bigrams add to the losses of their documents."""
 
@@ -230,21 +263,17 @@ def _corrections(shared):
             piece = table.column("piece")
             del table
             order = np.argsort(c["gram"], kind="stable").astype(np.int32)
-            first = _starts(c.pop("gram")[order])
-            group = np.empty(len(order), np.int32)
-            group[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
-            del order
+            ends = np.append(_starts(c.pop("gram")[order]), len(order))
             doc = np.repeat(np.arange(len(c["id"]), dtype=np.int32), c["size"])
             good = (c["length"] & 1).astype(bool)
-            counts = [np.bincount(group, c["n"] * (good == (m == 0))[doc], len(first)) for m in range(2)]
-            met = np.flatnonzero((counts[0] + counts[1])[group] > c["n"])
-            doc, group, n, symbol, own = doc[met], group[met], *(c.pop(k)[met] for k in ("n", "symbol", "own"))
-            del met
-            bits = []
-            for m in range(2):
-                left = good[doc] == (m == 0)
-                word = models.word(m, symbol, own, (c["length"] >> 1)[doc], left)
-                bits.append(np.bincount(doc, -n * np.log2(1 + (counts[m][group] - n * left) / (BACKOFF * word)), len(good)).astype(float))
+            bits = np.zeros((2, len(good)))
+            # Whole bigrams of about STEP entries at once; a more frequent one is alone.
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(order), STEP)), len(ends) - 1))
+            for lo, hi in zip(cuts, cuts[1:]):
+                _add_bits(models, bits, order[ends[lo] : ends[hi]], np.diff(ends[lo : hi + 1]), doc, good, c)
+            del order, doc
+            for k in ("n", "symbol", "own"):
+                c.pop(k)
             # Repeated rows bring the same bits; one of them stands for all.
             order = np.lexsort((c["h"], c["id"], bucket))
             one = order[_starts(bucket[order], c["id"][order], c["h"][order])]
