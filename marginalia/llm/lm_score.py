@@ -26,7 +26,7 @@ from marginalia.llm.vectors import mix, runs, slices, word_hashes
 #: Most words with a count of their own, and most bigrams that are scored without a bucket.
 MAX_WORDS, MAX_GRAMS = 32_768, 1_000_000
 #: Words of the corpus to a bucket.
-BUCKET = 1 << 21
+BUCKET = 1 << 22
 #: Bigrams that a task computes or returns at once, and words that it counts at once.
 STEP, COUNTED = 1 << 18, 1 << 19
 #: Pseudo-count with which a bigram trusts its word, and a word the uniform distribution.
@@ -237,6 +237,12 @@ def _rare(shared, buckets: int):
     return run
 
 
+def dealt(rare: DataFrame, buckets: int) -> DataFrame:
+    """Rows of a bucket in a partition of their own: a hash of the number would bring several
+    into one, which reach a worker as one batch, and would leave other partitions empty."""
+    return rare.repartitionById(buckets, F.col("bucket").cast("int"))
+
+
 def _add_bits(models: Models, bits: np.ndarray, at: np.ndarray, sizes: np.ndarray, doc: np.ndarray, good: np.ndarray, c: dict[str, np.ndarray]) -> None:
     """Add to ``bits`` of both models what the entries ``at`` bring; they are those of whole
     bigrams of ``sizes`` entries, ``doc`` is the document of every entry."""
@@ -353,8 +359,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, max_words: int
     buckets = int(models.totals.sum()) // BUCKET + 1
     kinds = ", ".join(f"{c} binary" for c in PACKED)
     rare = marked.select("id", "h", "text", "target").mapInArrow(_rare(shared, buckets), f"bucket long, piece long, {kinds}")
-    dealt = rare.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    parts = dealt.mapInArrow(_corrections(shared), "piece long, " + ", ".join(f"{c} binary" for c in SUMS))
+    parts = dealt(rare, buckets).mapInArrow(_corrections(shared), "piece long, " + ", ".join(f"{c} binary" for c in SUMS))
     # A piece is a few thousand documents, so their sums need little memory. Pieces only bring
     # parts together; documents are told apart by id and text.
     pieces = parts.repartition("piece").sortWithinPartitions("piece")

@@ -49,3 +49,10 @@ def test_bigrams_are_counted_in_parts():
     got, peak = _peak(work)
     assert sum(n for _, n in got) == 2_400_000 and max(n for n, _ in got) <= lm_score.STEP
     assert peak < 70_000_000
+
+
+def test_a_partition_holds_one_bucket(spark):
+    """What a task reads, sorts and sends to its worker is one bucket, whatever its number."""
+    rows = spark.range(0, 650, 1, 8).selectExpr("id % 65 AS bucket", "id AS piece")
+    per_task = lm_score.dealt(rows, 65).selectExpr("spark_partition_id() AS p", "bucket").distinct().groupBy("p").count().collect()
+    assert sorted(r["p"] for r in per_task) == list(range(65)) and all(r["count"] == 1 for r in per_task)
