@@ -62,6 +62,20 @@ def test_annotation_collisions(spark, boxes):
     assert rows_of(out) == sorted(want, key=str)
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_collisions_dealt_out_by_page(spark, boxes):
+    """j16: rows that are dealt out by page are not shuffled again, a null id meets nothing, also where adding the clearance rounds."""
+    rows = [(p, k, *[v / 3 for v in sides]) for p, k, *sides in boxes]
+    want = lambda rows, by: [(a[0], a[1], b[1], "overlap" if overlap(a, b) else "clearance") for a in rows for b in rows if a[1] != b[1] and (overlap(a, b, by) if b[1] < a[1] else overlap(b, a, by))]
+    for held, by in ((boxes, 1.0), (rows, 1 / 3)):
+        out = spatial.annotation_collisions(spark.createDataFrame([*held, (0, None, 0.0, 0.0, 90.0, 90.0)], RECT).repartition("page"), by)
+        assert exchanges(out) == 1
+        assert rows_of(out) == sorted(want(held, by), key=str)
+
+
 def test_leaders_of_several_segments(spark, boxes):
     """j16, leader lines: level, upright and slanting segments, each pair once."""
     r = spark.createDataFrame(boxes, RECT)
