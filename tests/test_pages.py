@@ -66,8 +66,16 @@ def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
 
+def test_placements_dealt_out_by_page(spark, boxes):
+    """j15: rows that are dealt out by page are not shuffled again; a null id comes before nothing."""
+    r = spark.createDataFrame([*boxes, (0, None, 0.0, 0.0, 90.0, 90.0)], RECT).repartition("page")
+    out = spatial.earlier_overlaps(r)
+    assert exchanges(out) == 1
+    assert rows_of(out) == sorted([(a[0], a[1], b[1]) for a in boxes for b in boxes if b[1] < a[1] and overlap(a, b)], key=str)
+
+
 def test_collisions_dealt_out_by_page(spark, boxes):
-    """j16: rows that are dealt out by page are not shuffled again, a null id meets nothing, also where adding the clearance rounds."""
+    """j16: the same, also where adding the clearance rounds."""
     rows = [(p, k, *[v / 3 for v in sides]) for p, k, *sides in boxes]
     want = lambda rows, by: [(a[0], a[1], b[1], "overlap" if overlap(a, b) else "clearance") for a in rows for b in rows if a[1] != b[1] and (overlap(a, b, by) if b[1] < a[1] else overlap(b, a, by))]
     for held, by in ((boxes, 1.0), (rows, 1 / 3)):
