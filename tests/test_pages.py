@@ -140,6 +140,26 @@ def test_same_row_cells(spark, boxes):
     assert rows_of(out) == sorted(want, key=str) and want
 
 
+def test_same_row_cells_of_one_table(spark, boxes):
+    """j17: one table is read and shuffled once; rows of one cell and of several."""
+    for each in (5, 1):
+        rows = [(*b, b[1] + 900, b[1] % 4 == 0, b[1] % 3 > 0, b[1] // each if b[1] % 11 else None, 0, (" ", "x", None)[b[1] % 7 % 3]) for b in boxes]
+        table = spark.createDataFrame(rows, RECT + ", cell_id long, is_source boolean, is_cell boolean, table_id long, row long, text string")
+        out = spatial.same_row_cells_of(table.repartition("page"))
+        assert moves(out) == [] and exchanges(out) == 1
+        cells = [t for t in rows if t[8] and t[9] is not None]
+        want = {(s[0], s[1], c[6]) for s in rows if s[7] for t in cells if overlap(s, t) for c in cells if c[0] == t[0] and c[9] == t[9] and not (c[11] or "").strip()}
+        assert rows_of(out) == sorted(want, key=str) and want
+
+
+def test_cells_are_read_once(spark, sf_tiny):
+    """j17"""
+    from marginalia.plans.space_queries import catalog
+
+    plan = catalog.queries["j17_same_row_cells"](spark, sf_tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") == 1
+
+
 def test_free_cells(spark):
     """g18: rows with remarks, rests, plain blanks; cells alike give a source one rectangle."""
     r, rows, words = random.Random(3), [], []
