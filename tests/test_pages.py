@@ -187,3 +187,15 @@ def test_free_cells(spark):
             offers = [o for o in offers if roomy(o[1])]
             want |= {(s[0], s[1], *o[1]) for o in offers if o[0] == min(o[0] for o in offers)}
     assert rows_of(out) == sorted(want, key=str) and len(want) > 20
+
+
+def test_free_cells_are_read_once(spark, sf_tiny):
+    """g18: one table is read and shuffled once, with the same rows as three tables."""
+    from marginalia.plans import registry, space_queries
+
+    out = space_queries.catalog.queries["g18_free_cells"](spark, sf_tiny)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") == 1
+    rows = space_queries._tables(registry.Tables(spark, sf_tiny)).cache()
+    three = spatial.free_cells(rows.where("is_source"), rows.where("is_cell"), rows.where("word IS NOT NULL").select("page", "id", "word.*"))
+    assert rows_of(out) == rows_of(three) != []
