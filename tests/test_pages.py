@@ -199,3 +199,29 @@ def test_free_cells_are_read_once(spark, sf_tiny):
     rows = space_queries._tables(registry.Tables(spark, sf_tiny)).cache()
     three = spatial.free_cells(rows.where("is_source"), rows.where("is_cell"), rows.where("word IS NOT NULL").select("page", "id", "word.*"))
     assert rows_of(out) == rows_of(three) != []
+
+
+@pytest.fixture(scope="module")
+def dense():
+    """Two pages whose rectangles meet hundreds of others, with copies and a null id."""
+    r, rows = random.Random(9), []
+    for page in range(2):
+        for k in r.sample(range(1500), 1500):
+            x, y = float(r.randrange(0, 150)), float(r.randrange(0, 150))
+            rows.append((page, k, x, y, x + r.randrange(20, 60), y + r.randrange(8, 30)))
+        rows += [(page, 1500, *rows[-1][2:]), (page, None, 0.0, 0.0, 90.0, 90.0), (page, 1501, 5.0, 5.0, 5.0, 9.0)]
+    return rows
+
+
+def room(df, path):
+    """Bytes of a row in the file that a query's result takes."""
+    df.coalesce(1).write.parquet(str(path))
+    return sum(p.stat().st_size for p in path.glob("*.parquet")) / df.sparkSession.read.parquet(str(path)).count()
+
+
+def test_long_lists_of_pairs_take_little_room(spark, dense, tmp_path):
+    """j14"""
+    r = spark.createDataFrame(dense, RECT).repartition("page")
+    out = spatial.overlap_pairs(r, r)
+    assert rows_of(out) == sorted([(a[0], a[1], b[1]) for a in dense for b in dense if overlap(a, b)], key=str)
+    assert room(out, tmp_path / "pairs") < 0.8
