@@ -225,3 +225,12 @@ def test_long_lists_of_pairs_take_little_room(spark, dense, tmp_path):
     out = spatial.overlap_pairs(r, r)
     assert rows_of(out) == sorted([(a[0], a[1], b[1]) for a in dense for b in dense if overlap(a, b)], key=str)
     assert room(out, tmp_path / "pairs") < 0.8
+
+
+def test_long_lists_of_collisions_take_little_room(spark, dense, tmp_path):
+    """j16"""
+    out = spatial.annotation_collisions(spark.createDataFrame(dense, RECT).repartition("page"), 1.0)
+    known = [v for v in dense if v[1] is not None]
+    want = [(a[0], a[1], b[1], "overlap" if overlap(a, b) else "clearance") for a in known for b in known if a[1] != b[1] and (overlap(a, b, 1.0) if b[1] < a[1] else overlap(b, a, 1.0))]
+    assert rows_of(out) == sorted(want, key=str)
+    assert room(out, tmp_path / "collisions") < 1.0
