@@ -234,3 +234,12 @@ def test_long_lists_of_collisions_take_little_room(spark, dense, tmp_path):
     want = [(a[0], a[1], b[1], "overlap" if overlap(a, b) else "clearance") for a in known for b in known if a[1] != b[1] and (overlap(a, b, 1.0) if b[1] < a[1] else overlap(b, a, 1.0))]
     assert rows_of(out) == sorted(want, key=str)
     assert room(out, tmp_path / "collisions") < 1.0
+
+
+def test_long_lists_of_earlier_ones_take_little_room(spark, dense, tmp_path):
+    """j15"""
+    wide = [(page, k, x0, y0, x1 + 40, y1 + 40) for page, k, x0, y0, x1, y1 in dense]
+    out = spatial.earlier_overlaps(spark.createDataFrame(wide, RECT).repartition("page"))
+    known = [v for v in wide if v[1] is not None]
+    assert rows_of(out) == sorted([(a[0], a[1], b[1]) for a in known for b in known if b[1] < a[1] and overlap(a, b)], key=str)
+    assert room(out, tmp_path / "earlier") < 1.0
